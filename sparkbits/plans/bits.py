@@ -377,11 +377,11 @@ define("small_ints", "sign", {
     "back": (lambda: V.from_small_ints(V.small_ints(F.substring(B, 1, 60), 5), 5), "left(bits, 60)"),
 })
 define("utf8_code_point", "sign", {
-    "point": (lambda: V.code_point(X.from_bytes(F.encode(F.chr(F.col("id") + 60), "utf-8"))).cast("long"), "(id + 60)::BIGINT") if False else (lambda: V.code_point(F.concat(F.lit("110"), F.lpad(F.bin(F.shiftright(F.col("id") + 128, 6)), 5, "0"), F.lit("10"), F.lpad(F.bin((F.col("id") + 128).bitwiseAND(F.lit(63))), 6, "0"))).cast("long"), "(id + 128)::BIGINT"),
+    "point": (lambda: V.code_point(F.concat(F.lit("110"), F.lpad(F.bin(F.shiftright(F.col("id") + 128, 6)), 5, "0"), F.lit("10"), F.lpad(F.bin((F.col("id") + 128).bitwiseAND(F.lit(63))), 6, "0"))).cast("long"), "(id + 128)::BIGINT"),
 })
 define("double_parts", "sign", {
     "negative": (lambda: K.double_bits(-F.col("id").cast("double") - 1).startswith("1"), "true"),
-    "exponent": (lambda: (V.to_int(F.substring(K.double_bits(F.col("id").cast("double") + 1), 2, 11)) - 1023).cast("long"), "floor(log2(id + 1))::BIGINT"),
+    "exponent": (lambda: F.conv(F.substring(K.double_bits(F.col("id").cast("double") + 1), 2, 11), 2, 10).cast("long") - 1023, "floor(log2(id + 1))::BIGINT"),
     "back": (lambda: K.bits_double(K.double_bits(F.col("id") / 7)), "id / 7"),
 })
 define("lexico_next", "sign", {
