@@ -117,7 +117,7 @@ def deserialize(blob: ColumnOrName, strict: bool = True) -> Column:
     body = F.substring(b, F.lit(2), F.length(b))
     whole = F.when(head >= 16, X.from_bytes(body, "big")).otherwise(X.from_bytes(body, "little"))
     out = F.struct(X.head(whole, F.length(whole) - pad).alias("bits"), F.when(head >= 16, "big").otherwise("little").alias("endian"))
-    return fail(F.coalesce(ok, F.lit(False)) & b.isNotNull(), out, "invalid header byte", strict)
+    return F.when(b.isNotNull(), fail(F.coalesce(ok, F.lit(False)), out, "invalid header byte", strict))
 
 
 def to_json(bits: ColumnOrName) -> Column:

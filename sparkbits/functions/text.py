@@ -610,7 +610,7 @@ def find(bits: ColumnOrName, sub: ColumnOrName, start: Int = 0, stop: Int | None
         p = F.position(s, within)
         some = F.when(p > 0, a + p - 1).otherwise(-1)
         none = a
-    return F.when((i(start) > n) | (z < a), -1).when(m == 0, none).otherwise(some)
+    return F.when(b.isNotNull() & s.isNotNull(), F.when((i(start) > n) | (z < a), -1).when(m == 0, none).otherwise(some))
 
 
 def index(bits: ColumnOrName, sub: ColumnOrName, start: Int = 0, stop: Int | None = None, right: bool = False, strict: bool = True) -> Column:

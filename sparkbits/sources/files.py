@@ -12,7 +12,7 @@ from ..functions import words as W
 
 
 def read_files(spark: SparkSession, path: str, endian: str = "big") -> DataFrame:
-    """(path, bits) of every file; one value a file, so for files that fit a task."""
+    """(path, bits) of every file; one value a file, so for files that fit a task. Spark's reader passes over empty files."""
     return spark.read.format("binaryFile").load(path).select("path", X.from_bytes("content", endian).alias("bits"))
 
 
