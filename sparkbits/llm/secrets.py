@@ -4,8 +4,8 @@ Base findings (``assign``, ``access``, ``hex``) are reported by themselves. The
 what is too weak alone: short assigned values and long opaque strings (``weak_secret``), short
 access identifiers (``weak_access``) and the endpoints (``endpoint``) they go with. Candidates and
 their complements are interval-joined within a document: both are put into bins of ``scope`` code
-points, equal bins meet in a semi-join, and a candidate stays if a complement lies within ``scope``
-code points. A weak secret needs an access identifier or an endpoint near it, a weak identifier
+points, equal bins meet in a semi-join, and a candidate stays if a complement that doesn't overlap it
+lies within ``scope`` code points. A weak secret needs an access identifier or an endpoint near it, a weak identifier
 needs a secret, an endpoint needs an identifier and a secret.
 
 Regular expressions give matches without places, so places are running sums over the lengths of the
@@ -30,7 +30,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 # Further parts of a credential.
 ENDPOINT = r"(?:https?|wss?|ftp|sftp|amqp|redis|mysql|postgres(?:ql)?|mongodb)://[^\s\"'<>|]+"
-OPAQUE = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}"
+OPAQUE = r"(?<![A-Za-z0-9+/])(?!AKIA)[A-Za-z0-9+/]{32,}={0,2}"
 
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_access", "endpoint")
 BASE = 3
@@ -81,13 +81,14 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _near(weak: DataFrame, others: DataFrame, scope: int) -> DataFrame:
-    """Rows of weak that have one of the others within scope code points: an interval semi-join by bins."""
+    """Rows of weak that have one of the others beside them within scope code points: an interval semi-join by bins."""
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / scope), F.floor(b / scope)))
     left = weak.withColumn("_bin", bins(F.col("start") - scope, F.col("end") + scope))
     right = others.select(F.col("_id").alias("r_id"), F.col("_hash").alias("r_hash"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), bins(F.col("start"), F.col("end")).alias("r_bin"))
     meets = F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_hash") == F.col("r_hash")) & (F.col("_bin") == F.col("r_bin"))
     close = (F.col("r_start") <= F.col("end") + scope) & (F.col("r_end") >= F.col("start") - scope)
-    return left.join(right, meets & close, "left_semi").drop("_bin").distinct()
+    apart = (F.col("r_end") <= F.col("start")) | (F.col("r_start") >= F.col("end"))
+    return left.join(right, meets & close & apart, "left_semi").drop("_bin").distinct()
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
