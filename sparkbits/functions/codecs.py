@@ -129,7 +129,10 @@ def sc_encode(bits: np.ndarray, endian: str = "big") -> bytes:
     size = _number(len(bits))
     out = [bytes([(16 if endian == "big" else 0) | len(size)]), size]
     data = packed(bits, endian)
-    one = np.flatnonzero(bits)
+    words = np.frombuffer(data + bytes(-len(data) % 8), np.uint64)
+    some = np.flatnonzero(words)
+    row, column = np.nonzero(np.unpackbits(words[some].view(np.uint8), bitorder=endian).reshape(-1, 64))
+    one = 64 * some[row] + column
     at, last = 0, int(one[-1]) // 256 * 32 if len(one) else -1
 
     def between(a: int, b: int) -> np.ndarray:

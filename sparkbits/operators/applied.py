@@ -33,8 +33,10 @@ def bloom_probe(df: DataFrame, key: str, bloom: DataFrame, m: int, k: int, broad
     """df with ``maybe``: all k positions of the key are set. Filters up to broadcast_bits are broadcast, longer ones are joined."""
     rows = df.withColumn("_row", F.monotonically_increasing_id()) if m > broadcast_bits else df
     if m <= broadcast_bits:
-        one = bloom.agg(F.map_from_entries(F.collect_list(F.struct("word_idx", "word"))).alias("_bloom"))
-        bit = lambda p: F.coalesce(F.try_element_at(F.col("_bloom"), F.floor(p / 64)), F.lit(0).cast("long"))
+        dense = df.sparkSession.range(m // 64 + 1).select(F.col("id").alias("word_idx"), F.lit(0).cast("long").alias("word")).union(bloom.select("word_idx", "word"))
+        words = F.array_sort(F.collect_list(F.struct("word_idx", "word")))
+        one = dense.groupBy("word_idx").agg(F.bit_or("word").alias("word")).agg(F.transform(words, lambda x: x["word"]).alias("_bloom"))
+        bit = lambda p: F.get(F.col("_bloom"), F.floor(p / 64).cast("int"))
         ok = F.forall(bloom_positions(F.col(key), m, k), lambda p: F.getbit(bit(p), (p % 64).cast("int")) == 1)
         return rows.crossJoin(F.broadcast(one)).withColumn("maybe", ok).drop("_bloom")  # one row
     places = rows.select("_row", F.explode(bloom_positions(F.col(key), m, k)).alias("p")).withColumn("word_idx", F.floor(F.col("p") / 64))

@@ -12,17 +12,41 @@ def _word(size: int = 64):
     return F.expr(f"bit_or(shiftleft(1L, {size - 1} - cast(idx % {size} as int)))")
 
 
+def random_words(spark: SparkSession, n: int, p: float = 0.5, seed: int = 0) -> DataFrame:
+    """(word_idx, word) of n bits that are one with probability p each; the last word has zeros behind bit n.
+
+    A fair word is one hash. The binary digits of p, from the last to the first, join fair words by
+    ``or`` for a one and ``and`` for a zero, which gives every bit the probability p (to 64 digits).
+    """
+    if not 0.0 <= p <= 1.0:
+        raise ValueError("p must be in range 0.0 <= p <= 1.0")
+    digits = f"{round(p * (1 << 64)):064b}".rstrip("0") if p < 1 else ""
+    word = F.lit(-1 if p == 1 else 0).cast("long")
+    for k, digit in enumerate(reversed(digits)):
+        fair = F.xxhash64(F.lit(seed), F.lit(k), F.col("id"))
+        word = fair if k == 0 else fair.bitwiseOR(word) if digit == "1" else fair.bitwiseAND(word)
+    last, rest = divmod(n, 64)
+    if rest:
+        word = F.when(F.col("id") == last, word.bitwiseAND(F.lit(-1 << (64 - rest)).cast("long"))).otherwise(word)
+    return spark.range(last + (rest > 0)).select(F.col("id").alias("word_idx"), word.alias("word"))
+
+
+def bits(words: DataFrame, n: int) -> DataFrame:
+    """(idx, bit) of rows (word_idx, word), the first n bits."""
+    one = words.select("word_idx", "word", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"))
+    return one.select((64 * F.col("word_idx") + F.col("k")).alias("idx"), F.call_function("getbit", "word", 63 - F.col("k")).cast("int").alias("bit")).where(F.col("idx") < n)
+
+
 def urandom(spark: SparkSession, n: int, seed: int | None = None) -> DataFrame:
-    """(idx, bit) of n fair bits."""
-    r = F.rand() if seed is None else F.rand(seed)
-    return spark.range(n).select(F.col("id").alias("idx"), (r < 0.5).cast("int").alias("bit"))
+    """(idx, bit) of n fair bits, others on each call unless there is a seed."""
+    import random
+
+    return bits(random_words(spark, n, 0.5, random.SystemRandom().getrandbits(31) if seed is None else seed), n)
 
 
 def random_p(spark: SparkSession, n: int, p: float = 0.5, seed: int = 0) -> DataFrame:
     """(idx, bit): every bit is one with probability p."""
-    if not 0.0 <= p <= 1.0:
-        raise ValueError("p must be in range 0.0 <= p <= 1.0")
-    return spark.range(n).select(F.col("id").alias("idx"), (F.rand(seed) < p).cast("int").alias("bit"))
+    return bits(random_words(spark, n, p, seed), n)
 
 
 def random_k(spark: SparkSession, n: int, k: int, seed: int = 0) -> DataFrame:
