@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language_id, quality, secrets, sentencepiece_codec, simhash_dedup, suffix_dedup, url_filter, warc
+from . import decontaminate, fingerprints, language_id, oracles, quality, secrets, sentencepiece_codec, simhash_dedup, suffix_dedup, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
