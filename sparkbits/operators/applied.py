@@ -29,16 +29,19 @@ def bloom_build(df: DataFrame, key: str, m: int, k: int) -> DataFrame:
     return places.groupBy(F.floor(F.col("p") / 64).alias("word_idx")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("word"))
 
 
-def bloom_probe(df: DataFrame, key: str, bloom: DataFrame, m: int, k: int, broadcast_bits: int = 1 << 26) -> DataFrame:
-    """df with ``maybe``: all k positions of the key are set. Filters up to broadcast_bits are broadcast, longer ones are joined."""
-    rows = df.withColumn("_row", F.monotonically_increasing_id()) if m > broadcast_bits else df
-    if m <= broadcast_bits:
-        dense = df.sparkSession.range(m // 64 + 1).select(F.col("id").alias("word_idx"), F.lit(0).cast("long").alias("word")).union(bloom.select("word_idx", "word"))
-        words = F.array_sort(F.collect_list(F.struct("word_idx", "word")))
-        one = dense.groupBy("word_idx").agg(F.bit_or("word").alias("word")).agg(F.transform(words, lambda x: x["word"]).alias("_bloom"))
-        bit = lambda p: F.get(F.col("_bloom"), F.floor(p / 64).cast("int"))
-        ok = F.forall(bloom_positions(F.col(key), m, k), lambda p: F.getbit(bit(p), (p % 64).cast("int")) == 1)
-        return rows.crossJoin(F.broadcast(one)).withColumn("maybe", ok).drop("_bloom")  # one row
+def bloom_probe(df: DataFrame, key: str, bloom: DataFrame, m: int, k: int, local_bits: int = 1 << 24) -> DataFrame:
+    """df with ``maybe``: all k positions of the key are set.
+
+    A filter of up to local_bits (2 MB) is read once and becomes a constant of the plan; a longer one is joined.
+    """
+    if m <= local_bits:
+        words = [0] * (m // 64 + 1)
+        for r in bloom.select("word_idx", "word").collect():  # at most local_bits / 64 rows
+            words[r.word_idx] = r.word
+        data = F.lit(b"".join(w.to_bytes(8, "little", signed=True) for w in words))
+        byte = lambda p: F.conv(F.hex(F.substring(data, F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return df.withColumn("maybe", F.forall(bloom_positions(F.col(key), m, k), lambda p: F.call_function("getbit", byte(p), (p % 8).cast("int")) == 1))
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
     places = rows.select("_row", F.explode(bloom_positions(F.col(key), m, k)).alias("p")).withColumn("word_idx", F.floor(F.col("p") / 64))
     hit = places.join(bloom, "word_idx", "left").groupBy("_row").agg(F.min(F.coalesce(F.getbit("word", (F.col("p") % 64).cast("int")), F.lit(0))).alias("all"))
     return rows.join(hit, "_row").withColumn("maybe", F.col("all") == 1).drop("_row", "all")
