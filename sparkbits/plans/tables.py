@@ -337,7 +337,7 @@ def bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).distinct()
     n = keys.count()
     m, k = A.bloom_size(n, 0.01)
-    bloom = A.bloom_build(keys, "k", m, k)
+    bloom = A.bloom_build(keys, "k", m, k).cache()  # m / 64 rows at most
     inside = A.bloom_probe(keys, "k", bloom, m, k).agg(F.min(F.col("maybe").cast("int")).alias("all"))
     outside = A.bloom_probe(keys.select((-F.col("k") - 1).alias("k")), "k", bloom, m, k).agg(F.avg(F.col("maybe").cast("int")).alias("rate"))
     stats = A.bloom_stats(bloom, m, k)
