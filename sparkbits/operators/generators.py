@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,26 +55,53 @@ def random_p(spark: SparkSession, n: int, p: float = 0.5, seed: int = 0) -> Data
 def random_k(spark: SparkSession, n: int, k: int, seed: int = 0) -> DataFrame:
     """(idx, bit) with exactly k ones, every choice as likely as any other.
 
-    The k least random keys are ones. Keys below a bound that surely holds k of them are ranked,
-    so the rest of the n rows takes no part in the sort.
+    The k least of n random keys are ones. Counts of the keys' first 16 bits tell in which of 65,536
+    bins the k-th lies; bins below it are all ones, and only its own rows are ranked.
     """
     if not 0 <= k <= n:
         raise ValueError("k must be in range 0 <= k <= n")
-    keyed = spark.range(n).select(F.col("id").alias("idx"), F.xxhash64(F.lit(seed), F.col("id")).alias("key"))
-    few = keyed.orderBy("key", "idx").limit(k).select(F.col("idx").alias("chosen"))
-    return keyed.join(few, F.col("idx") == F.col("chosen"), "left").select("idx", F.col("chosen").isNotNull().cast("int").alias("bit"))
+    key = F.xxhash64(F.lit(seed), F.col("id"))
+    keyed = spark.range(n).select(F.col("id").alias("idx"), key.alias("key"), F.shiftrightunsigned(key, 48).alias("bin"))
+    left, edge = k, 0
+    for edge, size in sorted((r.bin, r.n) for r in keyed.groupBy("bin").agg(F.count("*").alias("n")).collect()):  # at most 65,536 rows
+        if size >= left:
+            break
+        left -= size
+    few = keyed.where(F.col("bin") == edge).orderBy("key", "idx").limit(left).select(F.col("idx").alias("chosen"))
+    one = (F.col("bin") < edge) | F.col("chosen").isNotNull()
+    return keyed.join(few, F.col("idx") == F.col("chosen"), "left").select("idx", F.when(one, 1).otherwise(0).alias("bit"))
+
+
+SEGMENT = 1 << 20
 
 
 def primes(spark: SparkSession, n: int, odd: bool = False) -> DataFrame:
-    """(idx) of the ones: idx (or 2 idx + 1 with odd) is prime. Multiples of each prime up to the root are taken away."""
+    """(idx) of the ones, in no order: idx (or 2 idx + 1 with odd) is prime.
+
+    Segments of SEGMENT numbers are sieved apart from each other by the primes up to the root of n, so nothing is shuffled.
+    """
     top = 2 * n if odd else n
-    root = math.isqrt(max(top - 1, 0))
-    small = spark.range(2, root + 1).select(F.col("id").alias("p"))
-    divisors = small.withColumn("q", F.expr("explode(sequence(2L, greatest(2L, cast(sqrt(p) as bigint))))")).where("q < p and p % q = 0").select("p").distinct()
-    base = small.join(divisors, "p", "left_anti")
-    composite = base.select(F.explode(F.when(F.col("p") * F.col("p") < top, F.expr(f"sequence(p * p, {max(top - 1, 0)}L, p)")).otherwise(F.array())).alias("id")).distinct()
-    found = spark.range(2, max(top, 2)).join(composite, "id", "left_anti")
-    return found.where("id % 2 = 1").select(F.floor(F.col("id") / 2).alias("idx")) if odd else found.select(F.col("id").alias("idx"))
+    root = np.ones(math.isqrt(max(top - 1, 0)) + 1, bool)
+    root[:2] = False
+    for p in range(2, math.isqrt(len(root)) + 1):
+        if root[p]:
+            root[p * p :: p] = False
+    base = np.flatnonzero(root)
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for segment in batch.column(0).to_pylist():
+                start = segment * SEGMENT
+                is_prime = np.ones(min(SEGMENT, top - start), bool)
+                is_prime[: max(0, 2 - start)] = False
+                for p in base.tolist():
+                    is_prime[max(p * p, -(-start // p) * p) - start :: p] = False
+                found = np.flatnonzero(is_prime) + start
+                found = (found[found % 2 == 1] - 1) // 2 if odd else found
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["idx"])
+
+    count = -(-max(top, 0) // SEGMENT)
+    return spark.range(0, count, 1, max(1, min(count, 4096))).mapInArrow(sieve, "idx long")
 
 
 def sieve_report(spark: SparkSession, n: int) -> DataFrame:
@@ -83,10 +113,15 @@ def sieve_report(spark: SparkSession, n: int) -> DataFrame:
 
 
 def nth_prime(spark: SparkSession, n: int) -> DataFrame:
-    """The n-th prime, below the bound n (ln n + ln ln n)."""
+    """The n-th prime, below the bound n (ln n + ln ln n). Only the segment that holds it is ranked."""
     bound = 15 if n < 6 else int(n * (math.log(n) + math.log(math.log(n)))) + 1
-    ranked = primes(spark, bound + 1).orderBy("idx").limit(n)
-    return ranked.agg(F.max("idx").alias("prime"))
+    found = primes(spark, bound + 1).withColumn("segment", F.floor(F.col("idx") / SEGMENT))
+    left, segment = n, 0
+    for segment, size in sorted((r.segment, r.c) for r in found.groupBy("segment").agg(F.count("*").alias("c")).collect()):  # a row a segment
+        if size >= left:
+            break
+        left -= size
+    return found.where(F.col("segment") == segment).orderBy("idx").limit(left).agg(F.max("idx").alias("prime"))
 
 
 def middle_numbers(spark: SparkSession, n: int) -> DataFrame:
