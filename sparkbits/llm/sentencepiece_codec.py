@@ -54,8 +54,9 @@ class ChunkTable:
         for i in range(self.sp.get_piece_size()):
             if re.search(f"[^{MARK}]{MARK}", self.sp.id_to_piece(i)):
                 raise ValueError(f"piece {i} crosses a space marker; this model needs whole-text encoding")
-        if self.sp.encode("a")[:1] == self.sp.encode("a a")[1:] and not self.sp.id_to_piece(self.sp.encode("a")[0]).startswith(MARK):
-            raise ValueError("the model adds no dummy prefix")
+        pieces = lambda t: "".join(self.sp.encode(t, out_type=str))
+        if (pieces("a"), pieces("a  b"), pieces("\ufb01")) != (f"{MARK}a", f"{MARK}a{MARK}{MARK}b", f"{MARK}\ufb01"):
+            raise ValueError("the model must add a dummy prefix, keep white space and not normalise; others need whole-text encoding")
         self.limit, self.size = table_bytes, 0
         self.rows: dict[str, tuple[list[int], bytes, str]] = {}
 
