@@ -359,7 +359,12 @@ def lexico_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.lexico_all(spark, 8, 3)
 
 
-@query()
+MANDELBROT_SQL = """WITH RECURSIVE r AS (SELECT x, y, 0 AS k, 0::DOUBLE AS a, 0::DOUBLE AS b, true AS inside FROM range(36) AS s(x), range(20) AS t(y)
+UNION ALL SELECT x, y, k + 1, CASE WHEN inside THEN a * a - b * b + (x * (3.5::DOUBLE / 36) - 2.5::DOUBLE) ELSE a END, CASE WHEN inside THEN 2 * a * b + (y * (2::DOUBLE / 20) - 1::DOUBLE) ELSE b END, inside AND a * a + b * b <= 4 FROM r WHERE k < 30)
+SELECT y::INT AS y, string_agg(inside::INT::VARCHAR, '' ORDER BY x) AS bits FROM r WHERE k = 30 GROUP BY y"""
+
+
+@query(MANDELBROT_SQL)
 def mandelbrot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An image as bits, written to the PBM format and read back."""
     image = A.pbm(A.mandelbrot(spark, 36, 20), 36)
