@@ -110,7 +110,8 @@ def within(fps: DataFrame, asked: DataFrame, radius: int = 3) -> DataFrame:
     for t in reversed(range(len(tables))):
         mask = sum(((1 << (bounds[i + 1] - bounds[i])) - 1) << bounds[i] for i in tables[t])
         first = F.when(x.bitwiseAND(F.lit(mask if mask < 1 << 63 else mask - (1 << 64))) == 0, F.lit(t)).otherwise(first)
-    met = query.join(there, (F.col("qt") == F.col("t")) & (F.col("qk") == F.col("key")) & (F.bit_count(x) <= radius) & (first == F.col("t")))
+    # no broadcast: the planner takes the queries for as small as they are before they are spread over the tables
+    met = query.hint("merge").join(there, (F.col("qt") == F.col("t")) & (F.col("qk") == F.col("key")) & (F.bit_count(x) <= radius) & (first == F.col("t")))
     return met.groupBy("q").agg(F.sum("m").alias("n"))
 
 
