@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,36 @@ def row_slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield start, len(sizes)
 
 
+#: Rows and bytes of text that one Arrow batch holds, in the JVM and in the Python worker alike.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def _released() -> None:
+    """Gives freed memory back, as the worker stays for the next task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of bounded size; larger settings of the session are lowered."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _released()
+
+    return df.mapInArrow(kernel, schema)
+
+
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field, record_batch, row_slices
+from .common import arrow_schema, field, map_arrow, record_batch, row_slices
 
 #: A-Z to a-z; bytes that end words to spaces. Bytes from 0x80 belong to words.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -220,7 +220,7 @@ def matches(docs: DataFrame, shards: Shards, id_col: str = "doc_id", text_col: s
                     before, names = part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()
                     yield record_batch(to, [*part.columns[:-3], [len(t) for t in split], [merged(old + new) if new else old for old, (new, _) in zip(before, found)], [sorted(set(old) | new) if new else old for old, (_, new) in zip(names, found)]])
 
-        out = out.mapInArrow(run, schema)
+        out = map_arrow(out, run, schema)
     return out
 
 
@@ -277,4 +277,4 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = 10, max_coverage: flo
                     kept[n].append(row["_id"] if n == id_col else text if n == text_col else len(text) if n == chars_col and hit else row["_rest"][n])
             yield record_batch(to, [kept[n] for n in names])
 
-    return found.mapInArrow(run, schema)
+    return map_arrow(found, run, schema)

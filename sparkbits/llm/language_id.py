@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field, held_out, record_batch
+from .common import arrow_schema, field, held_out, map_arrow, record_batch
 from .subwords import ngrams, sparse, summed
 
 SIZES, BITS = (1, 2, 3, 4), 14
@@ -121,7 +121,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         model = sent.value
         for batch in batches:
             out = []
-            for text in batch.column(2).to_pylist():
+            texts = batch.column(0).field(text_col) if carry else batch.column(2)
+            for text in texts.to_pylist():
                 data = letters(text)
                 if not data or not model.languages:
                     out.append(("und", 0.0, False))
@@ -131,8 +132,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield record_batch(to, [batch.column(0), batch.column(1), *(list(x) for x in zip(*out))] if out else [batch.column(0), batch.column(1), [], [], []])
 
     key: Column = F.struct(*docs.columns) if carry else F.col(id_col)
-    rows = docs.select(key.alias("row"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
+    rows = docs.select(key.alias("row"), held_out(F.col(id_col)).alias("held_out"), *([] if carry else [F.col(text_col).alias("_text")]))
     schema = T.StructType([field(rows, "row"), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     to = arrow_schema(schema)
-    found = rows.mapInArrow(run, schema)
+    found = map_arrow(rows, run, schema)
     return found if carry else found.withColumnRenamed("row", id_col)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field, held_out, record_batch
+from .common import arrow_schema, field, held_out, map_arrow, record_batch
 from .subwords import ngrams, sparse, summed, word_hashes
 
 SIZES, BITS, DIM = (2, 3, 4), 15, 12
@@ -103,4 +103,4 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 score.append(float(1 / (1 + np.exp(np.clip(z[0] - z[1], -700, 700)))))
             yield record_batch(to, [batch.column(0), batch.column(1), score, [int(s >= threshold) for s in score]])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field, record_batch, row_slices
+from .common import arrow_schema, field, map_arrow, record_batch, row_slices
 
 MARK = "▁"
 CHUNK = re.compile(r" +[^ ]*")
@@ -112,4 +112,4 @@ def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_c
                         columns.append([hashlib.sha256(t.encode()).hexdigest() for t in texts_back])
                 yield record_batch(to, columns)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return map_arrow(df.select(id_col, text_col), run, schema)

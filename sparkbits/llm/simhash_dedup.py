@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field, record_batch, saved
+from .common import arrow_schema, field, map_arrow, record_batch, saved
 from .components import components
 
 SEED = 42
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield record_batch(to, [batch.column(0), batch.column(1), [fingerprint(t.as_py(), n) for t in batch.column(2)]])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def links(fps: DataFrame, block: int = 200) -> DataFrame:
         if held and len(held[0]):
             yield edges(held[0])
 
-    return dealt.mapInArrow(run, schema)
+    return map_arrow(dealt, run, schema)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, record_batch, saved, shared_dir
+from .common import arrow_schema, map_arrow, record_batch, saved, shared_dir
 
 LENGTH, GRAM, STEP = 400, 64, 28
 SPAN = LENGTH - GRAM + 1  # grams in a window
@@ -129,7 +129,7 @@ def zone_rows(texts: DataFrame) -> DataFrame:
                     columns = [[] for _ in ROWS]
             yield record_batch(to, columns)
 
-    return texts.where(F.octet_length("text") >= LENGTH).select("k", "text").mapInArrow(run, ROWS)
+    return map_arrow(texts.where(F.octet_length("text") >= LENGTH).select("k", "text"), run, ROWS)
 
 
 def finer(texts: DataFrame, marks: DataFrame, step: int) -> DataFrame:
@@ -155,7 +155,7 @@ def finer(texts: DataFrame, marks: DataFrame, step: int) -> DataFrame:
                             c.append(v)
                 yield record_batch(to, columns)
 
-    return rows.mapInArrow(run, ROWS)
+    return map_arrow(rows, run, ROWS)
 
 
 def sifted(rows: DataFrame, last: bool = False) -> DataFrame:
@@ -225,7 +225,7 @@ def cut(docs: DataFrame, text_col: str = "text", kept: bool = False) -> tuple[Da
                 out.append((k, len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), *([left] if kept else [])))
             yield record_batch(to, [list(c) for c in zip(*out)] if out else [[] for _ in to])
 
-    return rows.mapInArrow(run, schema), texts
+    return map_arrow(rows, run, schema), texts
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field, record_batch, saved
+from .common import arrow_schema, field, map_arrow, record_batch, saved
 
 
 class Rule(NamedTuple):
@@ -144,7 +144,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_i
             found = [words_of(h, p, model.value) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield record_batch(to, [*batch.columns, found, [not seeds.isdisjoint(w) for w in found]])
 
-    split = saved(urls.mapInArrow(segment, schema), "url-words")
+    split = saved(map_arrow(urls, segment, schema), "url-words")
     rows = split.groupBy("seeded").agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("w")).collect()  # two rows
     documents = {bool(r.seeded): r.n for r in rows}
     tokens = {bool(r.seeded): r.w for r in rows}
@@ -166,4 +166,4 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_i
             verdicts = [r or ("block" if o > 0 else "allow") for r, o in zip(ruled, odds)]
             yield record_batch(out, [*batch.columns[:4], verdicts, batch.column(5), [1 / (1 + math.exp(-max(-700.0, min(700.0, o)))) for o in odds]])
 
-    return split.mapInArrow(score, result)
+    return map_arrow(split, score, result)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field, record_batch, saved, shared_dir
+from .common import arrow_schema, field, map_arrow, record_batch, saved, shared_dir
 
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -116,7 +116,7 @@ def write(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFra
             if out is not None:
                 out.close()
 
-    return saved(rows.mapInArrow(run, schema), "warc-index")
+    return saved(map_arrow(rows, run, schema), "warc-index")
 
 
 def coalesced(ranges: list[tuple[str, int, int]], gap: int = 64 << 10, most: int = 8 << 20) -> list[tuple[str, int, int, int, int]]:
@@ -156,7 +156,7 @@ def read(index: DataFrame, folder: str, id_type: T.DataType | None = None, body:
 
     count = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = index.select("file", "offset", "length").repartitionByRange(count, "file", "offset").sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(run, schema)
+    return map_arrow(dealt, run, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", revisit_from: int = 1000) -> DataFrame:
