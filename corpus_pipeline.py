@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbits.llm import decontaminate, language_id, secrets, sentencepiece_codec, simhash_dedup
+from sparkbits.llm import decontaminate, language_id, near_copies, secrets, sentencepiece_codec
 from sparkbits.llm.common import saved, table
 from sparkbits.llm.queries import tokenizer_file
 
@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the least id."""
-    return simhash_dedup.deduplicate(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, that with the least id."""
+    return near_copies.deduplicate(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
