@@ -5,8 +5,9 @@ model (Viterbi). Words are then scored by multinomial naive Bayes. No table mark
 classes are made by seed words: a URL with a seed word is of class block, any other of class allow,
 and the words that go with the seeds are learned from all URLs.
 
-Word counts of both models are taken over all rows; the models keep the ``vocabulary`` most frequent
-words, a size that is sent to executors; rarer words count as unseen.
+Word counts of both models are taken over all rows and all words count. The ``vocabulary`` most frequent
+words are sent to executors; rarer ones are joined to the pieces and rows that hold them. A word of the
+unigram model occurs twice at least, as a single occurrence is just the piece that is to be split.
 
 Defined cases: a null URL or one without '://' has an empty host and path; without any word the
 verdict is the more frequent class (allow if none); longest rule first, of equally long ones the
@@ -17,7 +18,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections import ChainMap
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -75,16 +77,26 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
+def _parts(name: str) -> set[str]:
+    """All that may be a word of name."""
+    return {name[a:b] for a in range(len(name)) for b in range(a + 1, min(len(name), a + LONGEST) + 1)}
+
+
 class Segmenter:
     """Most likely split into words of a unigram model; an unknown piece costs more the longer it is."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = self.total = total or sum(counts.values()) + 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         self.unknown = math.log(total)
         self.memo: dict[str, tuple[str, ...]] = {}
 
-    def split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str, rare: dict[str, int] | None = None) -> tuple[str, ...]:
+        """rare: counts of further words that may be in this name."""
+        if rare:
+            own = Segmenter({}, self.total)
+            own.cost = {w: self.cost[w] for w in _parts(name) if w in self.cost} | {w: math.log(self.total / n) for w, n in rare.items()}
+            return own.split(name)
         if name in self.memo:
             return self.memo[name]
         best, back = [0.0], [0]
@@ -106,63 +118,142 @@ class Segmenter:
 PIECE = re.compile(r"[^\W\d_]+|\d+")
 
 
-def words_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
-    """Words of all host labels but the last and of the path; numbers are one word."""
-    names = host.split(":")[0].split(".")[:-1]
-    pieces = [p for name in [*names, path.lower()] for p in PIECE.findall(name)]
-    return [w for p in pieces for w in (("#",) if p[0].isdigit() else segmenter.split(p))]
+def pieces_of(host: str, path: str) -> list[str]:
+    """Runs of letters and of digits in all host labels but the last and in the path."""
+    return [p for name in [*host.split(":")[0].split(".")[:-1], path.lower()] for p in PIECE.findall(name)]
+
+
+def words_of(host: str, path: str, segmenter: Segmenter, known: Mapping[str, Sequence[str]] | None = None) -> list[str]:
+    """Words of the pieces; numbers are one word. known: splits of pieces with rare words."""
+    return [w for p in pieces_of(host, path) for w in (("#",) if p[0].isdigit() else (known or {}).get(p) or segmenter.split(p))]
+
+
+def _top(counted: DataFrame, key: str, most: int) -> tuple[list, DataFrame | None]:
+    """The most frequent rows by n, and the table of all others if there are any."""
+    top = counted.orderBy(F.desc("n"), key).limit(most).collect()  # at most ``most`` rows
+    if len(top) < most:
+        return top, None
+    n, last = (top[-1]["n"], top[-1][key]) if top else (1 << 62, "")
+    rest = counted.where((F.col("n") < n) | ((F.col("n") == n) & (F.col(key) > last)))
+    return top, None if rest.isEmpty() else rest
+
+
+def _per_row(rows: DataFrame, keys: Column, rest: DataFrame | None, key: str, value: Column) -> DataFrame:
+    """rows with ``given``: (k, v) of the row's keys that are in rest."""
+    kind = T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", rest.select(value).schema[0].dataType)])) if rest is not None else T.ArrayType(T.StringType())
+    if rest is None:
+        return rows.withColumn("given", F.lit(None).cast(kind))
+    held = rows.select("row_no", F.explode(F.array_distinct(keys)).alias("k")).join(rest.select(F.col(key).alias("k"), value.alias("v")), "k")
+    given = held.groupBy("row_no").agg(F.collect_list(F.struct("k", "v")).alias("given"))
+    return rows.join(given, "row_no", "left")
+
+
+def _dict(given: list | None) -> dict:
+    return {x["k"]: x["v"] for x in given or ()}
 
 
-def unigrams(pages: DataFrame, url_col: str, body_col: str | None, vocabulary: int) -> dict[str, int]:
-    """Words of titles, hosts and paths with their counts over all rows."""
+def unigrams(pages: DataFrame, url_col: str, body_col: str | None, vocabulary: int) -> tuple[Segmenter, DataFrame | None]:
+    """Segmenter over the most frequent words of titles, hosts and paths and the seeds; the table (w, n) of all other words."""
     url = F.col(url_col)
     texts = [F.concat_ws(" ", host_of(url), path_of(url))]
     if body_col:
         texts.append(F.regexp_extract(F.col(body_col), r"(?i)<title>([^<]*)", 1))
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    counted = words.where(F.length("w").between(1, LONGEST)).groupBy("w").agg(F.count("*").alias("n"))
-    top = counted.where("n > 1").orderBy(F.desc("n"), "w").limit(vocabulary).collect()  # at most vocabulary words
-    counts = {r.w: r.n for r in top}
-    likely = max(2, sorted(counts.values())[len(counts) // 2] if counts else 2)
-    return {**counts, **{w: max(likely, counts.get(w, 0)) for w in SEEDS}}
+    counted = saved(words.where(F.length("w").between(1, LONGEST)).groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "url-unigrams")
+    sizes = counted.groupBy("n").agg(F.count("*").alias("k")).orderBy("n").collect()  # distinct counts, about the root of the words' sum at most
+    middle, at, likely = sum(r.k for r in sizes) // 2, 0, 2
+    for r in sizes:
+        if at <= middle < at + r.k:
+            likely = max(2, r.n)
+        at += r.k
+    seeds = {r.w: r.n for r in counted.where(F.col("w").isin(*SEEDS)).collect()}  # at most the seeds
+    raised = {w: max(likely, seeds.get(w, 0)) for w in SEEDS}
+    top, rest = _top(counted, "w", vocabulary)
+    total = sum(r.n * r.k for r in sizes) - sum(seeds.values()) + sum(raised.values()) + 1
+    return Segmenter({**{r.w: r.n for r in top}, **raised}, total), None if rest is None else rest.where(~F.col("w").isin(*SEEDS))
+
+
+def _rare_splits(urls: DataFrame, model, rare: DataFrame) -> DataFrame:
+    """(piece, n, words) of the distinct pieces that may hold a rare word."""
+    pieces = saved(urls.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count("*").alias("n")), "url-pieces")
+    schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("part", T.StringType())])
+    to = arrow_schema(schema)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                found = [] if p[0].isdigit() else list(_parts(p))
+                yield record_batch(to, [[p] * len(found), found])
+
+    held = map_arrow(pieces.select("piece"), parts, schema).join(rare, F.col("part") == F.col("w")).groupBy("piece").agg(F.collect_list(F.struct(F.col("w").alias("k"), F.col("n").alias("v"))).alias("rare"))
+    both = pieces.join(held, "piece").select("piece", "n", "rare")
+    schema2 = T.StructType([T.StructField("piece", T.StringType()), T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    out = arrow_schema(schema2)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield record_batch(out, [*batch.columns[:2], [list(model.value.split(p, _dict(r))) for p, r in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]])
+
+    return saved(map_arrow(both, split, schema2), "url-rare-splits")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", body_col: str | None = "html", vocabulary: int = 50_000) -> DataFrame:
     """page_id, host, path, rule, verdict, words and block_score for every row."""
     sc = pages.sparkSession.sparkContext
-    model = sc.broadcast(Segmenter(unigrams(pages, url_col, body_col, vocabulary)))  # at most vocabulary words and the seeds
+    segmenter, rare = unigrams(pages, url_col, body_col, vocabulary)
+    model = sc.broadcast(segmenter)  # at most vocabulary words and the seeds
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    schema = T.StructType([*urls.schema.fields, T.StructField("words", T.ArrayType(T.StringType())), T.StructField("seeded", T.BooleanType())])
+    cut = T.StructType([*urls.schema.fields, T.StructField("pieces", T.ArrayType(T.StringType()))])
+    cut_to = arrow_schema(cut)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield record_batch(cut_to, [*batch.columns, [pieces_of(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]])
+
+    top, rest, columns = [], None, urls.columns
+    if rare is None:
+        urls = urls.withColumn("row_no", F.monotonically_increasing_id())
+    else:
+        urls = saved(map_arrow(urls, pieces, cut).withColumn("row_no", F.monotonically_increasing_id()), "url-pieces-of-rows")
+        top, rest = _top(_rare_splits(urls, model, rare), "piece", vocabulary)
+    frequent = sc.broadcast({r.piece: tuple(r.words) for r in top})  # at most vocabulary pieces
+    urls = _per_row(urls, F.col("pieces"), rest, "piece", F.col("words")).select(*columns, "row_no", "given")
+    schema = T.StructType([*urls.schema.fields[:-1], T.StructField("words", T.ArrayType(T.StringType())), T.StructField("seeded", T.BooleanType())])
     to = arrow_schema(schema)
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = set(SEEDS)
         for batch in batches:
-            found = [words_of(h, p, model.value) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield record_batch(to, [*batch.columns, found, [not seeds.isdisjoint(w) for w in found]])
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(6).to_pylist())
+            found = [words_of(h, p, model.value, ChainMap(_dict(g), frequent.value)) for h, p, g in rows]
+            yield record_batch(to, [*batch.columns[:6], found, [not seeds.isdisjoint(w) for w in found]])
 
     split = saved(map_arrow(urls, segment, schema), "url-words")
     rows = split.groupBy("seeded").agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("w")).collect()  # two rows
     documents = {bool(r.seeded): r.n for r in rows}
     tokens = {bool(r.seeded): r.w for r in rows}
     counts = split.select("seeded", F.explode("words").alias("w")).groupBy("w").agg(F.count_if("seeded").alias("block"), F.count_if(~F.col("seeded")).alias("allow"))
-    kept = counts.orderBy(F.desc(F.col("block") + F.col("allow")), "w").limit(vocabulary).collect()  # at most vocabulary words
-    smooth = 0.1 * (len(kept) + 1)
-    ratio = {r.w: math.log((r.block + 0.1) / (tokens.get(True, 0) + smooth)) - math.log((r.allow + 0.1) / (tokens.get(False, 0) + smooth)) for r in kept}
-    unseen = math.log(0.1 / (tokens.get(True, 0) + smooth)) - math.log(0.1 / (tokens.get(False, 0) + smooth))
+    counts = saved(counts.withColumn("n", F.col("block") + F.col("allow")), "url-counts")
+    smooth = 0.1 * (counts.count() + 1)
+    of = {k: tokens.get(k) or 0 for k in (True, False)}
+    log_ratio = lambda block, allow: math.log((block + 0.1) / (of[True] + smooth)) - math.log((allow + 0.1) / (of[False] + smooth))
+    top, rest = _top(counts, "w", vocabulary)
+    ratio = {r.w: log_ratio(r.block, r.allow) for r in top}
     prior = math.log((documents.get(True, 0) + 0.1) / (documents.get(False, 0) + 1))
-    weights = sc.broadcast((ratio, unseen, prior))
+    weights = sc.broadcast((ratio, prior))  # at most vocabulary words
+    split = _per_row(split, F.col("words"), rest, "w", F.array("block", "allow")).select(*columns, "words", "given")
     result = T.StructType([field(pages, id_col), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("block_score", T.DoubleType())])
     out = arrow_schema(result)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio, unseen, prior = weights.value
+        ratio, prior = weights.value
         for batch in batches:
             words, ruled = batch.column(5).to_pylist(), batch.column(4).to_pylist()
-            odds = [prior + sum(ratio.get(x, unseen) for x in w) for w in words]
+            rare = [{w: log_ratio(*v) for w, v in _dict(g).items()} for g in batch.column(6).to_pylist()]
+            odds = [prior + sum(ratio[x] if x in ratio else r[x] for x in w) for w, r in zip(words, rare)]
             verdicts = [r or ("block" if o > 0 else "allow") for r, o in zip(ruled, odds)]
             yield record_batch(out, [*batch.columns[:4], verdicts, batch.column(5), [1 / (1 + math.exp(-max(-700.0, min(700.0, o)))) for o in odds]])
 
