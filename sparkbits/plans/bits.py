@@ -20,7 +20,8 @@ HEX_BYTE = "printf('%02x', list_sum([CASE WHEN substr({0}, j::BIGINT + 1, 1) = '
 
 
 def mask():
-    return F.substring(F.repeat(F.lit(MASK), 40), F.lit(1), F.length(B))
+    times = F.ceil(F.length(B) / len(MASK)).cast("int")
+    return F.substring(F.repeat(F.lit(MASK), times), F.lit(1), F.length(B))
 
 
 def byte_sql(i: str, little: bool = False) -> str:
