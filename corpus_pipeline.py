@@ -15,8 +15,9 @@ from sparkbits.llm.queries import tokenizer_file
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (null text, no letter) go."""
-    return language_id.identify(docs, carry=True).where(F.col("lang_pred") != "und").select("row.*")
+    """Documents without a letter (or with null text) go; others stay, even where no language could be learned."""
+    found = language_id.identify(docs, carry=True)
+    return found.where((F.col("lang_pred") != "und") | F.col("row.text").rlike(r"\p{L}")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
