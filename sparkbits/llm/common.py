@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,22 +20,70 @@ SLICE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is missing (single-machine tests) one under the system's temp folder is set.
+    Where the setting is missing, a local master takes the system's temp folder; a cluster is refused,
+    as its executors would not see each other's files. No setting of the session is changed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = "file://" + os.path.join(tempfile.gettempdir(), "sparkbits-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Folders of the call that is running, deleted at its end.
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Hadoop's file systems."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class scratch:
+    """Tables that ``saved`` writes inside the block are deleted at its end; ``result`` stays.
+
+    A block inside another one leaves its tables to the outer one.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> scratch:
+        self.outer = _SCRATCH.get()
+        self.paths: list[str] = []
+        self.token = _SCRATCH.set(self.paths)
+        return self
+
+    def result(self, df: DataFrame, purpose: str) -> DataFrame:
+        """df worked out and written, so that the tables it was made of can go."""
+        path = shared_dir(self.spark, purpose)
+        out = _written(df, path)
+        if self.outer is not None:
+            self.outer.append(path)
+        return out
+
+    def __exit__(self, *error: object) -> None:
+        _SCRATCH.reset(self.token)
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def saved(df: DataFrame, purpose: str) -> DataFrame:
     """df cut off from its lineage: written as Parquet to the shared folder and read again."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
+    return _written(df, path)
 
 
 def field(df: DataFrame, name: str, alias: str | None = None) -> T.StructField:

@@ -25,7 +25,7 @@ g AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h HA
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
 FROM p LEFT JOIN g USING (h)"""
 
-SUFFIXES = """
+SUFFIXES = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
 c AS (SELECT doc_id, o, strlen(hx) // 2 AS n, substr(hx, 2 * o + 1, 2 * 899) AS part FROM d, unnest(range(0, greatest(strlen(hx) // 2 - 399, 0), 500)) AS t(o)),
 w AS (SELECT doc_id, o + q AS p, md5_number(substr(part, 2 * q + 1, 800)) AS k FROM c, unnest(range(least(500, n - 399 - o))) AS t(q)),
@@ -35,9 +35,14 @@ g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FR
 s AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS z FROM g GROUP BY doc_id, run),
 b AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM s),
 k AS (SELECT doc_id, string_agg(substr(hx, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept FROM b JOIN d USING (doc_id) GROUP BY doc_id),
-e AS (SELECT doc_id, max(z) AS last, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM s GROUP BY doc_id)
-SELECT doc_id, (strlen(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id) LEFT JOIN e USING (doc_id)"""
+e AS (SELECT doc_id, max(z) AS last, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM s GROUP BY doc_id),
+ws AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), x -> x <> '') AS words FROM documents),
+ww AS (SELECT doc_id, p, md5_number(array_to_string(words[p + 1 : p + 50], ' ')) AS k FROM ws, unnest(range(greatest(len(words) - 49, 0))) AS t(p)),
+wr AS (SELECT k FROM ww GROUP BY k HAVING count(*) > 1),
+wm AS (SELECT doc_id, p, least(50, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p)) AS gain FROM ww SEMI JOIN wr USING (k)),
+wn AS (SELECT doc_id, sum(coalesce(gain, 50))::BIGINT AS n_shared_words FROM wm GROUP BY doc_id)
+SELECT doc_id, (strlen(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256, coalesce(n_shared_words, 0)::BIGINT AS n_shared_words
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN wn USING (doc_id)"""
 
 
 def _quoted(pattern: str) -> str:

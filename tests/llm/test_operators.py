@@ -395,9 +395,52 @@ def test_suffixes_common_passages(spark):
     assert got(suffix_dedup.report(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter((i, *c) for i, c in enumerate(cut(texts, 400)))
 
 
+def shared_words(texts, n=50):
+    """Words of each text under windows of n words that start anywhere else."""
+    words = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[p : p + n]) for w in words for p in range(len(w) - n + 1))
+    return [len({q for p in range(len(w) - n + 1) if seen[tuple(w[p : p + n])] > 1 for q in range(p, p + n)}) for w in words]
+
+
+def test_shared_words(spark, docs, rows):
+    want = Counter((i, n) for (i, *_), n in zip(rows, shared_words([r[1] for r in rows])))
+    assert got(suffix_dedup.report(docs), "doc_id", "n_shared_words") == want
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice("a bb ccc dd eee".split()) + str(rng.randrange(50)) for _ in range(n))
+    passage = text(52)
+    texts = [text(rng.randrange(5, 90)) + " " + passage + "\n" + text(rng.randrange(5, 90)) for _ in range(20)] + [" ".join(passage.split()[:n]) for n in (49, 50, 51)] + ["x " * 300, "x " * 50, "x y " * 40, "- " * 49]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(suffix_dedup.report(df), "doc_id", "n_shared_words") == Counter(enumerate(shared_words(texts)))
+
+
+def test_runs_of_short_periods(spark):
+    """Runs of one byte and of short periods among other text, against brute force; and few rows for them."""
+    rng = random.Random(13)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    run = lambda unit, n: (unit * n)[:n]
+    texts = [noise(rng.randrange(500)) + run(noise(rng.choice([1, 2, 3, 7, 50, 333])), rng.randrange(380, 1500)) + noise(rng.randrange(500)) for _ in range(30)]
+    texts += [run("-=", 401), run("=-", 400), run("-=", 399), run("z", 400) + "q", "p" + run("z", 405) + "r", run("z", 2000), run("abc", 900) + run("z", 700), noise(50) + run("z", 400) + noise(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(suffix_dedup.report(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter((i, *c) for i, c in enumerate(cut(texts, 400)))
+    mb = 1 << 20
+    one, any_ = (spark.createDataFrame([(b"k" * 16, t, 1)], "k binary, text binary, copies long") for t in (b"a" * mb, rng.randbytes(mb)))
+    assert suffix_dedup.zone_rows(one, suffix_dedup.BYTES).count() <= 2 * suffix_dedup.zone_rows(any_, suffix_dedup.BYTES).count()
+
+
+def test_suffixes_leave_nothing(spark, docs):
+    """Tables of the work are gone at its end: a result folder stays, and no table in the catalog."""
+    from pathlib import Path
+
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {p.name for p in base.iterdir()} if base.exists() else set()
+    suffix_dedup.report(docs).count()
+    assert [p.name.rpartition("-")[0] for p in base.iterdir() if p.name not in before] == ["suffix-cut"]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("distinct_texts")]
+
+
 def test_zones_do_not_depend_on_pieces(monkeypatch):
     data = np.frombuffer(random.Random(1).randbytes(20_000), np.uint8)
-    whole = list(suffix_dedup.zones(data, suffix_dedup.Roller()))
+    whole = suffix_dedup.zones(data, suffix_dedup.Roller(suffix_dedup.BYTES)).tolist()
     assert whole[0][1] == 0 and whole[-1][2] == len(data) - 400 and all(x[2] + 1 == y[1] for x, y in zip(whole, whole[1:]))
     monkeypatch.setattr(suffix_dedup, "PIECE", 777)
-    assert list(suffix_dedup.zones(data, suffix_dedup.Roller())) == whole
+    assert suffix_dedup.zones(data, suffix_dedup.Roller(suffix_dedup.BYTES)).tolist() == whole
