@@ -30,10 +30,12 @@ def _alphabet(n: int) -> str:
 def to_base(bits: ColumnOrName, n: int, endian: str = "big", group: int = 0, sep: str = " ", strict: bool = True) -> Column:
     """Digits of log2(n) bits each; with little endian a digit's first bit is its lowest."""
     digits, m, b = _alphabet(n), int(math.log2(n)), c(bits)
-    turn = (lambda x: x) if endian == "big" else F.reverse
-    one = lambda k: F.substring(F.lit(digits), F.conv(turn(F.substring(b, m * k + 1, F.lit(m))), 2, 10).cast("int") + 1, F.lit(1))
-    out = X.joined(F.transform(X.span(F.length(b) / m), one))
-    return fail(F.length(b) % m == 0, X.to01(out, group, sep), f"bitarray length must be multiple of {m}", strict)
+    if n == 16:
+        out = F.lower(X._bits_hex(b, turned=endian != "big"))
+    else:
+        turn = (lambda x: x) if endian == "big" else F.reverse
+        out = X.joined(F.transform(X.pieces(b, m), lambda x: F.substring(F.lit(digits), F.conv(turn(x), 2, 10).cast("int") + 1, F.lit(1))))
+    return fail(F.length(b) % m == 0, X.to01(out, group, sep), f"digits to base {n} need a multiple of {m} bits", strict)
 
 
 def from_base(text: ColumnOrName, n: int, endian: str = "big", strict: bool = True) -> Column:
@@ -42,9 +44,9 @@ def from_base(text: ColumnOrName, n: int, endian: str = "big", strict: bool = Tr
     s = F.regexp_replace(c(text), r"(?U)\s", "")
     s = F.lower(s) if n == 16 else s
     turn = (lambda x: x) if endian == "big" else F.reverse
-    bits = X.joined(F.transform(X.span(F.length(s)), lambda k: turn(F.lpad(F.bin((F.position(F.substring(s, k + 1, F.lit(1)), F.lit(digits)) - 1).cast("long")), m, "0"))))
+    bits = X._hex_bits(F.upper(s), turned=endian != "big") if n == 16 else X.joined(F.transform(X.chars(s), lambda x: turn(F.lpad(F.bin((F.position(x, F.lit(digits)) - 1).cast("long")), m, "0"))))
     allowed = "^[" + digits.replace("+", r"\+").replace("/", "/") + "]*$"
-    return fail(s.rlike(allowed), bits, f"invalid digit found for base{n}", strict)
+    return fail(s.rlike(allowed), bits, f"a character is no digit to base {n}", strict)
 
 
 def to_hex(bits: ColumnOrName, endian: str = "big", group: int = 0, sep: str = " ", strict: bool = True) -> Column:
@@ -66,7 +68,7 @@ def to_int(bits: ColumnOrName, signed: bool = False, endian: str = "big", strict
     if signed:
         top = F.aggregate(X.span(n), F.lit(1).cast("decimal(38,0)"), lambda s, k: (s * 2).cast("decimal(38,0)"))
         value = F.when(b.startswith("1"), (value - top).cast("decimal(38,0)")).otherwise(value)
-    return fail((n > 0) & (n <= 126), value, "non-empty bitarray of at most 126 bits expected", strict)
+    return fail((n > 0) & (n <= 126), value, "a number has 1 to 126 bits here", strict)
 
 
 def from_int(value: ColumnOrName, length: int | None = None, endian: str = "big", signed: bool = False, strict: bool = True) -> Column:
@@ -123,19 +125,19 @@ def deserialize(blob: ColumnOrName, strict: bool = True) -> Column:
 def to_json(bits: ColumnOrName) -> Column:
     """Up to 50 bits as 0/1 text, more as base64 of serialize()."""
     b = c(bits)
-    short = F.to_json(F.struct(b.alias("bitarray")))
-    long = F.to_json(F.struct(F.base64(serialize(b)).alias("bitarray_b64")))
+    short = F.to_json(F.struct(b.alias("bits")))
+    long = F.to_json(F.struct(F.base64(serialize(b)).alias("bits_b64")))
     return F.when(F.length(b) <= 50, short).otherwise(long)
 
 
 def from_json(text: ColumnOrName) -> Column:
-    x = F.from_json(c(text), "bitarray string, bitarray_b64 string")
-    return F.coalesce(x["bitarray"], deserialize(F.unbase64(x["bitarray_b64"]), strict=False)["bits"])
+    x = F.from_json(c(text), "bits string, bits_b64 string")
+    return F.coalesce(x["bits"], deserialize(F.unbase64(x["bits_b64"]), strict=False)["bits"])
 
 
 def small_ints(bits: ColumnOrName, k: int) -> Column:
     """The vector as numbers of k bits each."""
-    return F.transform(X.span(F.length(c(bits)) / k), lambda j: F.conv(F.substring(c(bits), k * j + 1, F.lit(k)), 2, 10).cast("int"))
+    return F.transform(X.pieces(c(bits), k), lambda x: F.conv(x, 2, 10).cast("int"))
 
 
 def small_int_get(bits: ColumnOrName, k: int, j: ColumnOrName | int) -> Column:

@@ -6,8 +6,9 @@ import heapq
 from collections.abc import Iterable, Iterator, Mapping
 from itertools import chain
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,19 @@ from .text import ColumnOrName, c
 
 MAX_DEPTH = 256
 MAX_CANONICAL = 31
+#: Bits that one look into a decoding table covers, and places that are looked up at once.
+LOOK, BLOCK = 12, 1 << 16
+
+
+def windows(bits: str, start: int, count: int, width: int) -> np.ndarray:
+    """The next width bits of every place from start on as numbers; zeros stand behind the end."""
+    data = np.zeros(count + width, np.int64)
+    part = np.frombuffer(bits[start : start + count + width].encode("ascii"), np.uint8)
+    data[: len(part)] = part - 48
+    out = np.zeros(count, np.int64)
+    for j in range(width):
+        out = out << 1 | data[j : j + count]
+    return out
 
 
 class DecodeTree:
@@ -23,28 +37,28 @@ class DecodeTree:
 
     def __init__(self, code: Mapping[str, str]):
         if not isinstance(code, Mapping):
-            raise TypeError("dict expected")
+            raise TypeError("a code is a mapping of symbols to code words")
         if not code:
-            raise ValueError("non-empty dict expected")
+            raise ValueError("a code has one symbol at least")
         self.root: list = [None, None]
         for symbol, word in code.items():
             if not word:
-                raise ValueError("non-empty bitarray expected")
+                raise ValueError("a code word has one bit at least")
             if len(word) > MAX_DEPTH:
-                raise ValueError(f"code word longer than {MAX_DEPTH} bits")
+                raise ValueError(f"a code word has {MAX_DEPTH} bits at most")
             node = self.root
             for k, bit in enumerate(word):
                 at, last = int(bit), k == len(word) - 1
                 if last:
                     if node[at] is not None:
-                        raise ValueError(f"prefix code ambiguous: {symbol!r}")
+                        raise ValueError(f"the code word of {symbol!r} clashes with another")
                     node[at] = (symbol,)
                 else:
                     if node[at] is None:
                         node[at] = [None, None]
                     node = node[at]
                     if isinstance(node, tuple):
-                        raise ValueError(f"prefix code ambiguous: {symbol!r}")
+                        raise ValueError(f"the code word of {symbol!r} clashes with another")
 
     def walk(self) -> Iterator[tuple[str, object]]:
         todo: list[tuple[str, object]] = [("", self.root)]
@@ -65,18 +79,49 @@ class DecodeTree:
     def todict(self) -> dict[str, str]:
         return {n[0]: p for p, n in self.walk() if isinstance(n, tuple)}
 
-    def decode(self, bits: str, at: int = 0) -> Iterator[tuple[int, str]]:
-        """(place of the code word, symbol), lazily."""
+    def _table(self) -> tuple[int, list, list[int]]:
+        """(width, for each number of width bits the symbol it begins with, and how many bits that has; 0 if none fits)."""
+        if not hasattr(self, "table"):
+            words = self.todict()
+            width = min(LOOK, max(map(len, words.values())))
+            symbols: list = [None] * (1 << width)
+            sizes = [0] * (1 << width)
+            for symbol, word in words.items():
+                if len(word) <= width:
+                    first, n = int(word, 2) << (width - len(word)), 1 << (width - len(word))
+                    symbols[first : first + n] = [symbol] * n
+                    sizes[first : first + n] = [len(word)] * n
+            self.table = width, symbols, sizes
+        return self.table
+
+    def _slowly(self, bits: str, at: int) -> tuple[str, int]:
+        """The symbol at a place whose code word the table doesn't hold, and the word's length."""
+        node = self.root
+        for k in range(at, len(bits)):
+            node = node[int(bits[k])]
+            if node is None:
+                raise ValueError(f"no code word fits the bits at position {at} .. {k}")
+            if isinstance(node, tuple):
+                return node[0], k + 1 - at
+        raise ValueError(f"incomplete code word at position {at}")
+
+    def decode(self, bits: str, at: int = 0, skip: Mapping[int, int] | None = None) -> Iterator[tuple[int, str]]:
+        """(place of the code word, symbol), lazily; after symbol number k, skip[k] raw bits are passed over.
+
+        A step for each symbol: numpy looks the next bits of a block of places up at once.
+        """
+        width, symbols, sizes = self._table()
+        start, looked, n = at, [], 0
         while at < len(bits):
-            node, start = self.root, at
-            while isinstance(node, list):
-                if at >= len(bits):
-                    raise ValueError(f"incomplete prefix code at position {start}")
-                node = node[int(bits[at])]
-                at += 1
-                if node is None:
-                    raise ValueError(f"prefix code unrecognized in bitarray at position {start} .. {at - 1}")
-            yield start, node[0]
+            if not 0 <= at - start < len(looked):
+                start, looked = at, windows(bits, at, min(BLOCK, len(bits) - at), width).tolist()
+            x = looked[at - start]
+            symbol, size = symbols[x], sizes[x]
+            if not size or at + size > len(bits):
+                symbol, size = self._slowly(bits, at)
+            yield at, symbol
+            at += size + (skip.get(n, 0) if skip else 0)
+            n += 1
 
 
 def book(code: Mapping[str, str]) -> Column:
@@ -89,11 +134,11 @@ def encode(symbols: ColumnOrName, code: Mapping[str, str] | Column, strict: bool
     """The code words of an array of symbols, one after the other."""
     if isinstance(code, Mapping):
         if any(not w for w in code.values()):
-            raise ValueError("non-empty bitarray expected")
+            raise ValueError("a code word has one bit at least")
         code = F.create_map(*map(F.lit, chain.from_iterable(code.items())))
     words = F.transform(c(symbols), lambda s: F.try_element_at(code, s))
     known = F.forall(c(symbols), lambda s: F.coalesce(F.array_contains(F.map_keys(code), s), F.lit(False)))
-    return X.fail(known, X.joined(words), "symbol not defined in prefix code", strict)
+    return X.fail(known, X.joined(words), "a symbol has no code word", strict)
 
 
 def decode(bits: ColumnOrName, code: Mapping[str, str], strict: bool = True) -> Column:
@@ -142,21 +187,22 @@ def decode_fixed(bits: ColumnOrName, code: Mapping[str, str]) -> Column:
     """For code words of one length: a lookup for each piece, without Python."""
     (width,) = {len(w) for w in code.values()}
     back = F.create_map(*map(F.lit, chain.from_iterable((w, s) for s, w in code.items())))
-    return F.transform(X.span(F.length(c(bits)) / width), lambda k: F.element_at(back, F.substring(c(bits), width * k + 1, F.lit(width))))
+    return F.transform(X.pieces(c(bits), width), lambda x: F.element_at(back, x))
+
+
+def tree_rows(spark: SparkSession, tree: DecodeTree) -> DataFrame:
+    """(symbol, code) of a decode tree."""
+    return spark.createDataFrame(list(tree.todict().items()), "symbol string, code string")
 
 
-def decoder(code: Mapping[str, str], skip: Mapping[int, int] | None = None):
-    """A table function bits -> rows (pos, bit_index, symbol); after symbol number k, skip[k] raw bits are passed over."""
+def decoder(code: Mapping[str, str], skip: Mapping[int, int] | None = None, start: int = 0):
+    """A table function bits -> rows (pos, bit_index, symbol) from bit start on; after symbol number k, skip[k] raw bits are passed over."""
     tree, jumps = DecodeTree(code), dict(skip or {})
 
     class Decoder:
         def eval(self, bits: str):
-            at, n = 0, 0
-            while at < len(bits):
-                place, symbol = next(tree.decode(bits, at))
+            for n, (place, symbol) in enumerate(tree.decode(bits, start, jumps)):
                 yield n, place, symbol
-                at = place + len(code[symbol]) + jumps.get(n, 0)
-                n += 1
 
     return F.udtf(Decoder, returnType="pos: int, bit_index: int, symbol: string")
 
@@ -188,7 +234,7 @@ def nodes(codes: DataFrame, key: str = "book_id") -> DataFrame:
 def encode_rows(rows: DataFrame, codes: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """(key, bits): rows (key, pos, symbol) joined to code words (symbol, code) and put together in order."""
     met = rows.join(codes, "symbol", "left")
-    return met.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, F.coalesce("code", F.raise_error(F.lit("symbol not defined in prefix code"))).alias("code")))), lambda x: x["code"]), "").alias("bits"))
+    return met.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, F.coalesce("code", F.raise_error(F.lit("a symbol has no code word"))).alias("code")))), lambda x: x["code"]), "").alias("bits"))
 
 
 # ---- Huffman
@@ -197,7 +243,7 @@ def encode_rows(rows: DataFrame, codes: DataFrame, key: str, pos: str = "pos") -
 def huffman_tree(freq: Mapping[str, float]):
     """Nested pairs; equal weights are taken in the order they were made."""
     if not freq:
-        raise ValueError("cannot create Huffman code with no symbols")
+        raise ValueError("a Huffman code needs one symbol at least")
     heap = [(f, n, (s,)) for n, (s, f) in enumerate(freq.items())]
     heapq.heapify(heap)
     made = len(heap)
@@ -211,7 +257,7 @@ def huffman_tree(freq: Mapping[str, float]):
 def huffman_code(freq: Mapping[str, float]) -> dict[str, str]:
     """Symbol -> code word of least total length; a lone symbol has '0'."""
     if not isinstance(freq, Mapping):
-        raise TypeError("dict expected")
+        raise TypeError("frequencies are a mapping of symbols to numbers")
     tree = huffman_tree(freq)
     if isinstance(tree, tuple):
         return {tree[0]: "0"}
@@ -241,25 +287,39 @@ def canonical_huffman(freq: Mapping[str, float]) -> tuple[dict[str, str], list[i
 
 
 def canonical_symbols(bits: str, count: list[int], symbols: list[str]) -> Iterator[str]:
-    """Decodes by the numbers of code words of each length alone."""
+    """Decodes by the numbers of code words of each length alone.
+
+    Seen as fractions of one, the code words of each length fill a stretch right above those of the shorter
+    ones. So the next bits of a place, as a fraction, tell by the ends of the stretches how long the code word
+    is, and by their distance from the stretch's beginning which one of its length.
+    """
     if len(count) > MAX_CANONICAL + 1:
-        raise ValueError(f"len(count) cannot be larger than {MAX_CANONICAL + 1}")
-    if any(not 0 <= n <= 1 << k for k, n in enumerate(count)) or sum(count[1:]) != len(symbols):
+        raise ValueError(f"code words have {MAX_CANONICAL} bits at most")
+    if any(n < 0 for n in count) or sum(count[1:]) != len(symbols):
         raise ValueError("count doesn't fit the symbols")
+    width = max(1, len(count) - 1)
+    lengths = np.arange(1, width + 1)
+    sizes = np.array([*count[1:], *([0] * (width + 1 - max(len(count), 1)))][:width], np.int64)
+    filled = np.cumsum(sizes << (width - lengths))  # where each length's stretch ends, in units of the longest word
+    if len(filled) and filled[-1] > 1 << width:
+        raise ValueError("count has more code words than there can be")
+    begins, before = filled - (sizes << (width - lengths)), np.cumsum(sizes) - sizes
     at = 0
     while at < len(bits):
-        code = first = index = 0
-        for n in count[1:]:
-            if at >= len(bits):
-                raise ValueError("reached end of bitarray")
-            code |= bits[at] == "1"
-            at += 1
-            if code - first < n:
-                yield symbols[index + code - first]
-                break
-            index, first, code = index + n, (first + n) * 2, code * 2
-        else:
-            raise ValueError("ran out of codes")
+        start, n = at, min(BLOCK, len(bits) - at)
+        x = windows(bits, at, n, width)
+        kind = np.searchsorted(filled, x, side="right")  # the shortest length whose stretch goes beyond x
+        known = np.minimum(kind, width - 1)
+        which = (before[known] + ((x - begins[known]) >> (width - lengths[known]))).tolist()
+        steps = np.where(kind < width, lengths[known], 0).tolist()
+        while at - start < n:
+            step = steps[at - start]
+            if at + (step or width) > len(bits):
+                raise ValueError("the bits end inside a code word")
+            if not step:
+                raise ValueError(f"no code word fits the bits at position {at}")
+            yield symbols[which[at - start]]
+            at += step
 
 
 def canonical_decode(bits: ColumnOrName, count: list[int], symbols: list[str]) -> Column:
@@ -276,7 +336,7 @@ def books(freqs: DataFrame, key: str = "book_id", canonical: bool = False) -> Da
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("symbol")
-        freq = dict(zip(pdf["symbol"], pdf["freq"]))
+        freq = dict(zip(pdf["symbol"], pdf["freq"]))  # as many rows as the alphabet has symbols
         code = canonical_huffman(freq)[0] if canonical else huffman_code(freq)
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(code), "symbol": list(code), "code": list(code.values())})
 

@@ -3,6 +3,10 @@
 Every function takes and gives Columns and stays inside Spark SQL. Null in, null out. An invalid
 value raises (``raise_error``); functions with a ``strict`` argument give null instead where it is
 False. Indices are Python's: they count from zero, negative ones from the end.
+
+Every function takes time in proportion to the length of its vectors (those that merge lists of
+indices sort, so n log n): a text is cut into characters or pieces in one pass, and nothing inside a
+lambda looks a place up in a text, as that walks the text from its start.
 """
 
 from __future__ import annotations
@@ -14,7 +18,10 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 Int = Column | int
-CHUNK = 32
+CHUNK = 64
+EQUAL = "two vectors of one length are needed"
+# Four bits for each hexadecimal digit.
+NIBBLES = {f"{k:X}": f"{k:04b}" for k in range(16)}
 
 
 def c(x: ColumnOrName) -> Column:
@@ -42,7 +49,7 @@ def span(n: Column) -> Column:
 
 
 def at(b: Column, k: Int) -> Column:
-    """The character at a non-negative index."""
+    """The character at a non-negative index. It walks the text: not for use inside a lambda over indices."""
     return F.substring(b, (i(k) + 1).cast("int"), F.lit(1))
 
 
@@ -60,6 +67,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def chars(b: Column) -> Column:
+    """The characters as an array."""
+    return F.when(F.length(b) > 0, F.split(b, "")).otherwise(F.when(b.isNotNull(), F.array().cast("array<string>")))
+
+
+def pieces(b: Column, n: int) -> Column:
+    """Every n characters as an array; the last piece may be shorter."""
+    return F.regexp_extract_all(b, F.lit(f".{{1,{n}}}"), F.lit(0))
+
+
+def places(b: Column, value: str) -> Column:
+    """The indices of a character."""
+    return F.filter(F.transform(chars(b), lambda x, k: F.when(x == value, k)), lambda k: k.isNotNull())
+
+
+def number(piece: Column) -> Column:
+    """Up to 64 bits as a BIGINT."""
+    return F.conv(piece, 2, -10).cast("long")
+
+
 def shifted(a: Column, n: Int) -> Column:
     """a << n for a column n."""
     return F.call_function("shiftleft", a, i(n).cast("int"))
@@ -75,15 +102,15 @@ def joined(a: Column) -> Column:
 def parse(text: ColumnOrName, strict: bool = True) -> Column:
     """0/1 text; Unicode white space and underscores are skipped, anything else is an error."""
     bare = F.regexp_replace(c(text), r"(?U)[\s_]", "")
-    return fail(bare.rlike("^[01]*$"), bare, "expected '0' or '1' (or whitespace, or underscore)", strict)
+    return fail(bare.rlike("^[01]*$"), bare, "only 0, 1, white space and underscores make a vector", strict)
 
 
 def zeros(n: Int) -> Column:
-    return fail(i(n) >= 0, F.repeat(F.lit("0"), i(n).cast("int")), "bitarray length must be >= 0")
+    return fail(i(n) >= 0, F.repeat(F.lit("0"), i(n).cast("int")), "a length is 0 at least")
 
 
 def ones(n: Int) -> Column:
-    return fail(i(n) >= 0, F.repeat(F.lit("1"), i(n).cast("int")), "bitarray length must be >= 0")
+    return fail(i(n) >= 0, F.repeat(F.lit("1"), i(n).cast("int")), "a length is 0 at least")
 
 
 def from_list(values: ColumnOrName, strict: bool = True) -> Column:
@@ -92,49 +119,65 @@ def from_list(values: ColumnOrName, strict: bool = True) -> Column:
     return fail(F.forall(a, lambda x: F.coalesce(x.isin(0, 1), F.lit(False))), joined(F.transform(a, lambda x: x.cast("int").cast("string"))), "bit must be 0 or 1", strict)
 
 
+def _hex_bits(digits: Column, turned: bool = False) -> Column:
+    """Upper-case hexadecimal digits to four bits each: digits become letters first, so that no pass sees the bits of another."""
+    out = F.translate(digits, "0123456789", "ghijklmnop")
+    for d, bits in NIBBLES.items():
+        out = F.replace(out, F.lit("ghijklmnop"[int(d)] if d.isdigit() else d), F.lit(bits[::-1] if turned else bits))
+    return out
+
+
+def _bits_hex(bits: Column, turned: bool = False) -> Column:
+    """Four bits to a hexadecimal digit each; the length has to be a multiple of four."""
+    out = F.regexp_replace(bits, "(....)", "$1,")
+    for d, four in NIBBLES.items():
+        out = F.replace(out, F.lit((four[::-1] if turned else four) + ","), F.lit("ghijklmnop"[int(d)] if d.isdigit() else d))
+    return F.translate(out, "ghijklmnop", "0123456789")
+
+
+def _swapped(digits: Column) -> Column:
+    return F.regexp_replace(digits, "(.)(.)", "$2$1")
+
+
 def from_bytes(data: ColumnOrName, endian: str = "big") -> Column:
     """Eight bits a byte of BINARY."""
     digits = F.hex(c(data))
-    bits = F.transform(span(F.length(digits) / 2), lambda k: F.lpad(F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 2), 8, "0"))
-    return joined(bits if endian == "big" else F.transform(bits, F.reverse))
+    return _hex_bits(digits) if endian == "big" else _hex_bits(_swapped(digits), turned=True)
 
 
 def to_bytes(bits: ColumnOrName, endian: str = "big") -> Column:
     """BINARY with pad bits zero."""
     b = c(bits)
-    n = F.ceil(F.length(b) / 8)
-    byte = lambda k: F.rpad(F.substring(b, 8 * k + 1, F.lit(8)), 8, "0")
-    digits = F.transform(span(n), lambda k: F.lpad(F.conv(byte(k) if endian == "big" else F.reverse(byte(k)), 2, 16), 2, "0"))
-    return F.unhex(joined(digits))
+    whole = F.rpad(b, (8 * F.ceil(F.length(b) / 8)).cast("int"), F.lit("0"))
+    return F.unhex(_bits_hex(whole) if endian == "big" else _swapped(_bits_hex(whole, turned=True)))
 
 
 def pack(data: ColumnOrName) -> Column:
     """One bit a byte of BINARY: 0x00 is 0, anything else 1."""
-    digits = F.hex(c(data))
-    return joined(F.transform(span(F.length(digits) / 2), lambda k: F.when(F.substring(digits, 2 * k + 1, F.lit(2)) == "00", "0").otherwise("1")))
+    pairs = F.regexp_replace(F.hex(c(data)), "(..)", "$1,")
+    return F.translate(F.regexp_replace(F.replace(pairs, F.lit("00,"), F.lit("z")), "..,", "u"), "zu", "01")
 
 
 def unpack(bits: ColumnOrName, zero: bytes = b"\x00", one: bytes = b"\x01") -> Column:
     """One byte a bit, as BINARY."""
     if len(zero) != 1 or len(one) != 1:
         raise ValueError("a byte is needed for either bit")
-    b = c(bits)
-    return F.unhex(joined(F.transform(span(F.length(b)), lambda k: F.when(at(b, k) == "0", zero.hex()).otherwise(one.hex()))))
+    marked = F.translate(c(bits), "01", "zu")
+    return F.unhex(F.replace(F.replace(marked, F.lit("z"), F.lit(zero.hex())), F.lit("u"), F.lit(one.hex())))
 
 
 def to_list(bits: ColumnOrName) -> Column:
-    b = c(bits)
-    return F.transform(span(F.length(b)), lambda k: at(b, k).cast("int"))
+    return F.transform(chars(c(bits)), lambda x: x.cast("int"))
 
 
 def to01(bits: ColumnOrName, group: int = 0, sep: str = " ") -> Column:
     if group < 0:
-        raise ValueError("non-negative integer expected")
-    return c(bits) if group == 0 or not sep else F.array_join(F.transform(span(F.ceil(F.length(c(bits)) / group)), lambda k: F.substring(c(bits), group * k + 1, F.lit(group))), sep)
+        raise ValueError("a group has 0 or more bits")
+    return c(bits) if group == 0 or not sep else F.array_join(pieces(c(bits), group), sep)
 
 
 def show(bits: ColumnOrName) -> Column:
-    return F.when(c(bits) == "", "bitarray()").otherwise(F.concat(F.lit("bitarray('"), c(bits), F.lit("')")))
+    return F.when(c(bits) == "", "bits()").otherwise(F.concat(F.lit("bits('"), c(bits), F.lit("')")))
 
 
 def pretty(bits: ColumnOrName, group: int = 8, indent: int = 4, width: int = 80) -> Column:
@@ -144,9 +187,9 @@ def pretty(bits: ColumnOrName, group: int = 8, indent: int = 4, width: int = 80)
     a_line = group * ((width - indent) // (group + 1)) or max(1, width - indent - 2)
     b = c(bits)
     n = F.length(b)
-    lines = F.transform(span(F.ceil(n / a_line)), lambda k: F.concat(F.lit(" " * indent), to01(F.substring(b, a_line * k + 1, F.lit(a_line)), group)))
-    many = F.concat(F.lit("bitarray('''\n"), F.array_join(lines, "\n"), F.lit("\n''')"))
-    return F.when(n == 0, "bitarray()").when(len("bitarray('')") + n + F.floor((n - 1) / group) >= width, many).otherwise(F.concat(F.lit("bitarray('"), to01(b, group), F.lit("')")))
+    lines = F.transform(pieces(b, a_line), lambda x: F.concat(F.lit(" " * indent), to01(x, group)))
+    many = F.concat(F.lit("bits('''\n"), F.array_join(lines, "\n"), F.lit("\n''')"))
+    return F.when(n == 0, "bits()").when(len("bits('')") + n + F.floor((n - 1) / group) >= width, many).otherwise(F.concat(F.lit("bits('"), to01(b, group), F.lit("')")))
 
 
 # ---- inspection
@@ -165,7 +208,7 @@ def padbits(bits: ColumnOrName) -> Column:
 
 
 def bits2bytes(n: Int) -> Column:
-    return fail(i(n) >= 0, F.ceil(i(n) / 8), "non-negative integer expected")
+    return fail(i(n) >= 0, F.ceil(i(n) / 8), "a number of bits is 0 or more")
 
 
 def buffer_info(bits: ColumnOrName, endian: str = "big") -> Column:
@@ -204,7 +247,7 @@ def wrap(n: Column, k: Int) -> Column:
 def get(bits: ColumnOrName, k: Int, strict: bool = True) -> Column:
     b = c(bits)
     p = wrap(F.length(b), k)
-    return fail((p >= 0) & (p < F.length(b)), at(b, p).cast("int"), "bitarray index out of range", strict)
+    return fail((p >= 0) & (p < F.length(b)), at(b, p).cast("int"), "no bit has this index", strict)
 
 
 def bounds(n: Column, start: Int | None, stop: Int | None, step: int = 1) -> tuple[Column, Column]:
@@ -216,55 +259,71 @@ def bounds(n: Column, start: Int | None, stop: Int | None, step: int = 1) -> tup
     return first.cast("int"), last.cast("int")
 
 
-def positions(n: Column, start: Int | None, stop: Int | None, step: int = 1) -> Column:
-    """The indices of a slice as an array."""
-    if step == 0:
-        raise ValueError("slice step cannot be zero")
-    a, z = bounds(n, start, stop, step)
-    return F.transform(span(F.ceil((z - a) / step)), lambda k: a + k * step)
-
-
 def slice_(bits: ColumnOrName, start: Int | None = None, stop: Int | None = None, step: int = 1) -> Column:
     b = c(bits)
     if step == 1:
         a, z = bounds(F.length(b), start, stop)
         return F.substring(b, a + 1, F.greatest(z - a, F.lit(0)))
-    return joined(F.transform(positions(F.length(b), start, stop, step), lambda p: at(b, p)))
+    if step == 0:
+        raise ValueError("a slice's step is not 0")
+    n = F.length(b)
+    a, z = bounds(n, start, stop, step)
+    if step < 0:  # forward over the reversed vector
+        b, a, z = F.reverse(b), n - 1 - a, n - 1 - z
+    part = F.substring(b, a + 1, F.greatest(z - a, F.lit(0)))
+    return F.regexp_replace(part, f"(.).{{0,{abs(step) - 1}}}", "$1")
 
 
 def select_mask(bits: ColumnOrName, mask: ColumnOrName, strict: bool = True) -> Column:
     b, m = c(bits), t(mask)
-    kept = joined(F.transform(F.filter(span(F.length(b)), lambda k: at(m, k) == "1"), lambda k: at(b, k)))
-    return fail(F.length(b) == F.length(m), kept, "bitarray length must match mask length", strict)
+    kept = joined(F.zip_with(chars(b), chars(m), lambda x, y: F.when(y == "1", x).otherwise("")))
+    return fail(F.length(b) == F.length(m), kept, "vector and mask have to be as long as each other", strict)
 
 
 def normal(n: Column, index: Column, strict: bool = True) -> Column:
     """Indices of a list with negative ones wrapped; an error if any is out of range."""
     wrapped = F.transform(index, lambda k: F.when(k < 0, k + n).otherwise(k).cast("int"))
-    return fail(F.forall(wrapped, lambda k: (k >= 0) & (k < n)), wrapped, "bitarray index out of range", strict)
+    return fail(F.forall(wrapped, lambda k: (k >= 0) & (k < n)), wrapped, "no bit has this index", strict)
 
 
 def gather(bits: ColumnOrName, index: ColumnOrName, strict: bool = True) -> Column:
     b = c(bits)
-    return joined(F.transform(normal(F.length(b), c(index), strict), lambda p: at(b, p)))
+    return let(F.struct(F.length(b).alias("n"), chars(b).alias("x")), lambda v: joined(F.transform(normal(v["n"], c(index), strict), lambda p: v["x"][p])))
 
 
 def put_at(b: Column, chosen, value) -> Column:
-    """b with value(k) at every index k for which chosen(k) holds."""
-    return joined(F.transform(span(F.length(b)), lambda k: F.when(chosen(k), value(k)).otherwise(at(b, k))))
+    """b with value(bit, k) at every index k for which chosen(k) holds."""
+    return joined(F.transform(chars(b), lambda x, k: F.when(chosen(k), value(x, k)).otherwise(x)))
 
 
-def in_slice(n: Column, start: Int | None, stop: Int | None, step: int):
-    """Predicate on an index: is it in the slice; and its rank there."""
+def in_slice(n: Column, start: Int | None, stop: Int | None, step: int, body) -> Column:
+    """body(chosen, rank, size) of an extended slice: is an index in it, its rank there, and the slice's size."""
     if step == 0:
-        raise ValueError("slice step cannot be zero")
+        raise ValueError("a slice's step is not 0")
     a, z = bounds(n, start, stop, step)
-    inside = (lambda k: (k >= a) & (k < z) & ((k - a) % step == 0)) if step > 0 else (lambda k: (k <= a) & (k > z) & ((a - k) % -step == 0))
-    return inside, lambda k: ((k - a) / step).cast("int"), F.greatest(F.ceil((z - a) / step), F.lit(0))
 
+    def inner(x: Column) -> Column:
+        a, z = x["a"], x["z"]
+        chosen = (lambda k: (k >= a) & (k < z) & ((k - a) % step == 0)) if step > 0 else (lambda k: (k <= a) & (k > z) & ((a - k) % -step == 0))
+        return body(chosen, lambda k: ((k - a) / step).cast("int"), F.greatest(F.ceil((z - a) / step), F.lit(0)))
+
+    return let(F.struct(a.alias("a"), z.alias("z")), inner)
+
+
+def _entry(k: Column, turn: Column, bit: Column) -> Column:
+    return F.struct(k.cast("int").alias("k"), turn.cast("int").alias("turn"), bit.cast("string").alias("bit"))
 
-def in_list(n: Column, index: Column):
-    return lambda k: F.exists(index, lambda j: (j == k) | (j + n == k))
+
+def merged(b: Column, updates: Column) -> Column:
+    """b with updates, an array of _entry: the last entry of each index stays, and one with a null bit leaves nothing."""
+    base = F.transform(chars(b), lambda x, k: _entry(k, F.lit(-1), x))
+    last = lambda s: F.filter(s, lambda x, i: (i == F.size(s) - 1) | (s[F.least(i + 1, F.size(s) - 1)]["k"] != x["k"]))
+    return let(F.array_sort(F.concat(base, updates)), lambda s: F.array_join(F.transform(last(s), lambda x: x["bit"]), ""))
+
+
+def wrapped(n: Column, index: Column, value) -> Column:
+    """Array of _entry for a list of indices: value(j, place) at place j of the list, later ones winning."""
+    return let(n, lambda size: F.transform(index, lambda k, j: _entry(F.when(k < 0, k + size).otherwise(k), j, value(j))))
 
 
 def valid_list(n: Column, index: Column) -> Column:
@@ -275,7 +334,7 @@ def set_bit(bits: ColumnOrName, k: Int, v: Int, strict: bool = True) -> Column:
     b = c(bits)
     p = wrap(F.length(b), k)
     new = F.concat(head(b, p), i(v).cast("string"), tail(b, p + 1))
-    return fail((p >= 0) & (p < F.length(b)) & i(v).isin(0, 1), new, "bitarray assignment index out of range or bit not 0 or 1", strict)
+    return fail((p >= 0) & (p < F.length(b)) & i(v).isin(0, 1), new, "no bit has this index, or the value is neither 0 nor 1", strict)
 
 
 def set_slice(bits: ColumnOrName, other: ColumnOrName, start: Int | None = None, stop: Int | None = None, step: int = 1, strict: bool = True) -> Column:
@@ -284,8 +343,8 @@ def set_slice(bits: ColumnOrName, other: ColumnOrName, start: Int | None = None,
     if step == 1:
         a, z = bounds(F.length(b), start, stop)
         return F.concat(head(b, a), o, tail(b, F.greatest(a, z)))
-    inside, rank, size = in_slice(F.length(b), start, stop, step)
-    return fail(size == F.length(o), put_at(b, inside, lambda k: at(o, rank(k))), "attempt to assign sequence of different size to extended slice", strict)
+    new = lambda inside, rank, size: fail(size == F.length(o), let(chars(o), lambda v: put_at(b, inside, lambda _, k: v[rank(k)])), "the slice has another number of bits", strict)
+    return in_slice(F.length(b), start, stop, step, new)
 
 
 def fill_slice(bits: ColumnOrName, value: int, start: Int | None = None, stop: Int | None = None, step: int = 1) -> Column:
@@ -293,42 +352,41 @@ def fill_slice(bits: ColumnOrName, value: int, start: Int | None = None, stop: I
     if step == 1:
         a, z = bounds(F.length(b), start, stop)
         return F.concat(head(b, a), F.repeat(F.lit(str(value)), F.greatest(z - a, F.lit(0))), tail(b, F.greatest(a, z)))
-    return put_at(b, in_slice(F.length(b), start, stop, step)[0], lambda k: F.lit(str(value)))
+    return in_slice(F.length(b), start, stop, step, lambda inside, *_: put_at(b, inside, lambda _, k: F.lit(str(value))))
 
 
 def set_mask(bits: ColumnOrName, mask: ColumnOrName, other: ColumnOrName, strict: bool = True) -> Column:
     """The bits under the mask's ones become those of other, in order."""
     b, m, o = c(bits), t(mask), t(other)
-    new = joined(F.transform(span(F.length(b)), lambda k: F.when(at(m, k) == "1", at(o, count(head(m, k)))).otherwise(at(b, k))))
-    return fail((F.length(b) == F.length(m)) & (count(m) == F.length(o)), new, "attempt to assign mask of different size", strict)
+    new = merged(b, let(chars(o), lambda v: F.transform(places(m, "1"), lambda k, r: _entry(k, F.lit(0), v[r]))))
+    return fail((F.length(b) == F.length(m)) & (count(m) == F.length(o)), new, "the mask has to be as long as the vector, and to have a one for each new bit", strict)
 
 
-def fill_mask(bits: ColumnOrName, mask: ColumnOrName, value: int) -> Column:
-    """Use ``b & ~mask`` or ``b | mask``: this form is not supported, as in the model."""
-    raise NotImplementedError("mask assignment to bool not implemented; use b &= ~mask or b |= mask")
+def fill_mask(bits: ColumnOrName, mask: ColumnOrName, value: int, strict: bool = True) -> Column:
+    """The bits under the mask's ones become value: ``b & ~mask`` or ``b | mask``."""
+    if value not in (0, 1):
+        raise ValueError("a bit is 0 or 1")
+    return or_(bits, mask, strict) if value else and_(bits, invert(t(mask)), strict)
 
 
 def put(bits: ColumnOrName, index: ColumnOrName, other: ColumnOrName, strict: bool = True) -> Column:
     """bits[index[k]] = other[k] for all k in order; the last of several writes stays."""
-    b, o = c(bits), t(other)
-    n, ix = F.length(b), c(index)
-    last = lambda k: F.aggregate(ix, F.struct(F.lit(0).alias("at"), F.lit(-1).alias("hit")), lambda s, j: F.struct((s["at"] + 1).alias("at"), F.when((j == k) | (j + n == k), s["at"]).otherwise(s["hit"]).alias("hit")), lambda s: s["hit"])
-    return fail(valid_list(n, ix) & (F.size(ix) == F.length(o)), put_at(b, in_list(n, ix), lambda k: at(o, last(k))), "index out of range or sequence of different size", strict)
+    b, o, ix = c(bits), t(other), c(index)
+    n = F.length(b)
+    new = merged(b, let(chars(o), lambda v: wrapped(n, ix, lambda j: v[j])))
+    return let(n, lambda size: fail(valid_list(size, ix) & (F.size(ix) == F.length(o)), new, "an index is out of range, or there are not as many bits as indices", strict))
 
 
 def put_value(bits: ColumnOrName, index: ColumnOrName, value: int, strict: bool = True) -> Column:
     b, ix = c(bits), c(index)
-    return fail(valid_list(F.length(b), ix), put_at(b, in_list(F.length(b), ix), lambda k: F.lit(str(value))), "bitarray index out of range", strict)
-
-
-def without(b: Column, chosen) -> Column:
-    return joined(F.transform(F.filter(span(F.length(b)), lambda k: ~chosen(k)), lambda k: at(b, k)))
+    n = F.length(b)
+    return let(n, lambda size: fail(valid_list(size, ix), merged(b, wrapped(n, ix, lambda _: F.lit(str(value)))), "no bit has this index", strict))
 
 
 def del_at(bits: ColumnOrName, k: Int, strict: bool = True) -> Column:
     b = c(bits)
     p = wrap(F.length(b), k)
-    return fail((p >= 0) & (p < F.length(b)), F.concat(head(b, p), tail(b, p + 1)), "bitarray assignment index out of range", strict)
+    return fail((p >= 0) & (p < F.length(b)), F.concat(head(b, p), tail(b, p + 1)), "no bit has this index", strict)
 
 
 def del_slice(bits: ColumnOrName, start: Int | None = None, stop: Int | None = None, step: int = 1) -> Column:
@@ -336,7 +394,7 @@ def del_slice(bits: ColumnOrName, start: Int | None = None, stop: Int | None = N
     if step == 1:
         a, z = bounds(F.length(b), start, stop)
         return F.concat(head(b, a), tail(b, F.greatest(a, z)))
-    return without(b, in_slice(F.length(b), start, stop, step)[0])
+    return in_slice(F.length(b), start, stop, step, lambda inside, *_: put_at(b, inside, lambda _, k: F.lit("")))
 
 
 def del_mask(bits: ColumnOrName, mask: ColumnOrName, strict: bool = True) -> Column:
@@ -344,8 +402,9 @@ def del_mask(bits: ColumnOrName, mask: ColumnOrName, strict: bool = True) -> Col
 
 
 def del_list(bits: ColumnOrName, index: ColumnOrName, strict: bool = True) -> Column:
-    b = c(bits)
-    return fail(valid_list(F.length(b), c(index)), without(b, in_list(F.length(b), c(index))), "bitarray index out of range", strict)
+    b, ix = c(bits), c(index)
+    n = F.length(b)
+    return let(n, lambda size: fail(valid_list(size, ix), merged(b, wrapped(n, ix, lambda _: F.lit(None))), "no bit has this index", strict))
 
 
 def strip(bits: ColumnOrName, mode: str = "right") -> Column:
@@ -358,19 +417,14 @@ def strip(bits: ColumnOrName, mode: str = "right") -> Column:
 # ---- bitwise algebra
 
 
-def chunk(b: Column, k: Column) -> Column:
-    """Word k of CHUNK bits as a number."""
-    return F.conv(F.substring(b, CHUNK * k + 1, F.lit(CHUNK)), 2, 10).cast("long")
-
-
-def words32(b: Column) -> Column:
-    return F.transform(span(F.ceil(F.length(b) / CHUNK)), lambda k: chunk(b, k))
+def paired(a: Column, b: Column, op) -> Column:
+    """op(x, y, length) of every CHUNK bits of two vectors as numbers."""
+    return F.zip_with(pieces(a, CHUNK), pieces(b, CHUNK), lambda x, y: op(number(x), number(y), F.length(x)))
 
 
 def bitwise(a: Column, b: Column, op, strict: bool = True) -> Column:
-    n = F.length(a)
-    new = joined(F.transform(span(F.ceil(n / CHUNK)), lambda k: F.lpad(F.bin(op(chunk(a, k), chunk(b, k))), F.least(F.lit(CHUNK), n - CHUNK * k), F.lit("0"))))
-    return fail(F.length(a) == F.length(b), new, "bitarrays of equal length expected for bitwise operation", strict)
+    new = joined(paired(a, b, lambda x, y, n: F.lpad(F.right(F.bin(op(x, y)), n), n, F.lit("0"))))
+    return fail(F.length(a) == F.length(b), new, EQUAL, strict)
 
 
 def and_(a: ColumnOrName, b: ColumnOrName, strict: bool = True) -> Column:
@@ -391,13 +445,13 @@ def invert(bits: ColumnOrName, start: Int | None = None, stop: Int | None = None
     flip = lambda x: F.translate(x, "01", "10")
     if step is None:
         return flip(b)
-    return put_at(b, in_slice(F.length(b), start, stop, step)[0], lambda k: flip(at(b, k)))
+    return in_slice(F.length(b), start, stop, step, lambda inside, *_: put_at(b, inside, lambda x, k: flip(x)))
 
 
 def invert_at(bits: ColumnOrName, k: Int, strict: bool = True) -> Column:
     b = c(bits)
     p = wrap(F.length(b), k)
-    return fail((p >= 0) & (p < F.length(b)), F.concat(head(b, p), F.translate(at(b, p), "01", "10"), tail(b, p + 1)), "bitarray index out of range", strict)
+    return fail((p >= 0) & (p < F.length(b)), F.concat(head(b, p), F.translate(at(b, p), "01", "10"), tail(b, p + 1)), "no bit has this index", strict)
 
 
 def lshift(bits: ColumnOrName, k: Int, strict: bool = True) -> Column:
@@ -423,21 +477,21 @@ def reverse(bits: ColumnOrName) -> Column:
 
 
 def bytereverse(bits: ColumnOrName, start: Int | None = None, stop: Int | None = None) -> Column:
-    """Reverses the bits inside each byte of a byte range. Only whole bytes may be touched."""
+    """Reverses the bits inside each byte of a byte range. A last byte that isn't whole is padded with zeros, which come first then."""
     b = c(bits)
     n = F.ceil(F.length(b) / 8).cast("int")
     a, z = bounds(n, start, stop)
-    done = joined(F.transform(span(n), lambda k: F.when((k >= a) & (k < z), F.reverse(F.substring(b, 8 * k + 1, F.lit(8)))).otherwise(F.substring(b, 8 * k + 1, F.lit(8)))))
-    return fail((F.length(b) % 8 == 0) | (z < n) | (z <= a), done, "bytereverse needs whole bytes")
+    turn = lambda r: joined(F.transform(pieces(b, 8), lambda x, k: F.when((k >= r["a"]) & (k < r["z"]), F.substring(F.reverse(F.rpad(x, 8, "0")), F.lit(1), F.length(x))).otherwise(x)))
+    return let(F.struct(a.alias("a"), z.alias("z")), turn)
 
 
 def byteswap(data: ColumnOrName, n: int | None = None, strict: bool = True) -> Column:
     """Reverses every n bytes of BINARY, all of it without n."""
     digits = F.hex(c(data))
-    size = F.length(digits) / 2
-    step = F.greatest(size, F.lit(1)) if n is None else F.lit(max(n, 1))
-    pairs = F.transform(span(size), lambda k: F.substring(digits, (2 * (F.floor(k / step) * step + F.least(step, size - F.floor(k / step) * step) - 1 - k % step) + 1).cast("int"), F.lit(2)))
-    return fail(F.lit(n is None) | (size % step == 0), F.unhex(joined(pairs)), "byteswap: buffer size not a multiple of n", strict)
+    turned = lambda x: joined(F.reverse(pieces(x, 2)))
+    if n is None:
+        return F.unhex(turned(digits))
+    return fail(F.length(digits) / 2 % max(n, 1) == 0, F.unhex(joined(F.transform(pieces(digits, 2 * max(n, 1)), turned))), f"the bytes are no multiple of {n}", strict)
 
 
 def set_all(bits: ColumnOrName, value: Int) -> Column:
@@ -468,14 +522,14 @@ def pop(bits: ColumnOrName, k: Int = -1, strict: bool = True) -> Column:
     b = c(bits)
     p = wrap(F.length(b), k)
     ok = (p >= 0) & (p < F.length(b))
-    return F.struct(fail(ok, at(b, p).cast("int"), "pop index out of range", strict).alias("item"), fail(ok, F.concat(head(b, p), tail(b, p + 1)), "pop index out of range", strict).alias("rest"))
+    return F.struct(fail(ok, at(b, p).cast("int"), "no bit has this index", strict).alias("item"), fail(ok, F.concat(head(b, p), tail(b, p + 1)), "no bit has this index", strict).alias("rest"))
 
 
 def remove(bits: ColumnOrName, value: int, strict: bool = True) -> Column:
     """Without the first bit of that value."""
     b = c(bits)
     p = F.instr(b, str(value)) - 1
-    return fail(p >= 0, F.concat(head(b, p), tail(b, p + 1)), f"{value} not in bitarray", strict)
+    return fail(p >= 0, F.concat(head(b, p), tail(b, p + 1)), f"no bit is {value}", strict)
 
 
 def clear(bits: ColumnOrName) -> Column:
@@ -525,7 +579,7 @@ def count_n(bits: ColumnOrName, n: Int, value: int = 1, strict: bool = True) ->
     b = c(bits)
     place = F.element_at(search(b, str(value)), F.greatest(i(n), F.lit(1)).cast("int")) + 1
     found = F.when(i(n) == 0, F.lit(0)).when((i(n) > 0) & (i(n) <= count(b, value)), place)
-    return fail(found.isNotNull(), found, "n exceeds total count", strict)
+    return fail(found.isNotNull(), found, "there are fewer such bits", strict)
 
 
 def parity(bits: ColumnOrName) -> Column:
@@ -535,7 +589,7 @@ def parity(bits: ColumnOrName) -> Column:
 def sum_indices(bits: ColumnOrName, mode: int = 1) -> Column:
     """Sum of the set indices, or of their squares with mode 2."""
     if mode not in (1, 2):
-        raise ValueError("unexpected mode")
+        raise ValueError("mode is 1 or 2")
     zero = F.lit(0).cast("decimal(38,0)")
     term = lambda k: k.cast("decimal(18,0)") if mode == 1 else k.cast("decimal(18,0)") * k.cast("decimal(18,0)")
     return F.aggregate(search(c(bits), "1"), zero, lambda s, k: (s + term(k)).cast("decimal(38,0)"))
@@ -546,8 +600,8 @@ def xor_indices(bits: ColumnOrName) -> Column:
 
 
 def _pair_count(a: Column, b: Column, op, strict: bool) -> Column:
-    total = F.aggregate(span(F.ceil(F.length(a) / CHUNK)), F.lit(0), lambda s, k: s + F.bit_count(op(chunk(a, k), chunk(b, k))))
-    return fail(F.length(a) == F.length(b), total, "bitarrays of equal length expected", strict)
+    total = F.aggregate(paired(a, b, lambda x, y, _: F.bit_count(op(x, y))), F.lit(0), lambda s, x: s + x)
+    return fail(F.length(a) == F.length(b), total, EQUAL, strict)
 
 
 def count_and(a: ColumnOrName, b: ColumnOrName, strict: bool = True) -> Column:
@@ -565,14 +619,12 @@ def count_xor(a: ColumnOrName, b: ColumnOrName, strict: bool = True) -> Column:
 
 def any_and(a: ColumnOrName, b: ColumnOrName, strict: bool = True) -> Column:
     x, y = c(a), t(b)
-    found = F.exists(span(F.ceil(F.length(x) / CHUNK)), lambda k: chunk(x, k).bitwiseAND(chunk(y, k)) != 0)
-    return fail(F.length(x) == F.length(y), found, "bitarrays of equal length expected", strict)
+    return fail(F.length(x) == F.length(y), F.exists(paired(x, y, lambda p, q, _: p.bitwiseAND(q) != 0), lambda found: found), EQUAL, strict)
 
 
 def subset(a: ColumnOrName, b: ColumnOrName, strict: bool = True) -> Column:
     x, y = c(a), t(b)
-    found = F.forall(span(F.ceil(F.length(x) / CHUNK)), lambda k: chunk(x, k).bitwiseAND(chunk(y, k)) == chunk(x, k))
-    return fail(F.length(x) == F.length(y), found, "bitarrays of equal length expected", strict)
+    return fail(F.length(x) == F.length(y), F.forall(paired(x, y, lambda p, q, _: p.bitwiseAND(q) == p), lambda inside: inside), EQUAL, strict)
 
 
 def correspond_all(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -589,11 +641,13 @@ def search(bits: ColumnOrName, sub: ColumnOrName, start: Int | None = None, stop
     """All places where sub begins, overlapping ones too. An empty sub is at every place, the end included."""
     b, s = c(bits), t(sub)
     a, z = bounds(F.length(b), start, stop)
-    if isinstance(sub, str) and len(sub) == 1:
-        places = F.filter(F.transform(span(z - a), lambda k: k + a), lambda k: at(b, k) == s)
-    else:
-        places = F.filter(F.transform(span(z - a - F.length(s) + 1), lambda k: k + a), lambda k: F.substring(b, k + 1, F.length(s)) == s)
-    return F.reverse(places) if right else places
+    within = F.substring(b, a + 1, F.greatest(z - a, F.lit(0)))
+    marked = F.regexp_replace(within, F.concat(F.lit("(?="), s, F.lit(").")), F.lit("x"))
+    every = F.sequence(a, F.greatest(z, a))
+    found = let(a, lambda first: F.transform(places(marked, "x"), lambda k: k + first))
+    out = F.when(F.length(s) > 0, found).otherwise(F.when(z >= a, every).otherwise(F.array().cast("array<int>")))
+    out = F.when(b.isNotNull() & s.isNotNull(), out)
+    return F.reverse(out) if right else out
 
 
 def find(bits: ColumnOrName, sub: ColumnOrName, start: Int = 0, stop: Int | None = None, right: bool = False) -> Column:
@@ -615,16 +669,15 @@ def find(bits: ColumnOrName, sub: ColumnOrName, start: Int = 0, stop: Int | None
 
 def index(bits: ColumnOrName, sub: ColumnOrName, start: Int = 0, stop: Int | None = None, right: bool = False, strict: bool = True) -> Column:
     p = find(bits, sub, start, stop, right)
-    return fail(p >= 0, p, "sub-bitarray not in bitarray", strict)
+    return fail(p >= 0, p, "the vector does not hold this one", strict)
 
 
 def intervals(bits: ColumnOrName) -> Column:
-    """Maximal runs as (value, start, stop)."""
+    """Maximal runs as (value, start, stop): the places where the bit changes, values taking turns."""
     b = c(bits)
-    firsts = F.filter(span(F.length(b)), lambda k: (k == 0) | (at(b, k) != at(b, k - 1)))
-    ends = F.concat(F.slice(firsts, F.lit(2), F.length(b)), F.array(F.length(b)))
-    runs = F.transform(F.arrays_zip(firsts.alias("s"), ends.alias("e")), lambda x: F.struct(at(b, x["s"]).cast("int").alias("value"), x["s"].cast("long").alias("start"), x["e"].cast("long").alias("stop")))
-    return F.filter(runs, lambda r: r["start"].isNotNull())
+    firsts = places(F.regexp_replace(b, "^.|(?<=0)1|(?<=1)0", "x"), "x")
+    one = lambda v: F.transform(v["f"], lambda k, r: F.struct(((v["first"] + r) % 2).cast("int").alias("value"), k.cast("long").alias("start"), F.when(r + 1 < F.size(v["f"]), F.get(v["f"], r + 1)).otherwise(v["n"]).cast("long").alias("stop")))
+    return let(F.struct(firsts.alias("f"), F.when(b.startswith("1"), 1).otherwise(0).alias("first"), F.length(b).alias("n")), one)
 
 
 def first_k(bits: ColumnOrName, k: int, right: bool = False) -> Column:

@@ -17,10 +17,7 @@ PACKED = "struct<nbits:bigint,endian:string,buf:binary>"
 
 
 def to_words(bits: ColumnOrName) -> Column:
-    b = c(bits)
-    half = lambda k: F.conv(F.rpad(F.substring(b, 32 * k + 1, F.lit(32)), 32, "0"), 2, 10).cast("long")
-    low = lambda k: F.when(F.length(b) > 32 * k, half(k)).otherwise(F.lit(0).cast("long"))
-    return F.transform(X.span(F.ceil(F.length(b) / 64)), lambda k: F.shiftleft(half(2 * k), 32).bitwiseOR(low(2 * k + 1)))
+    return F.transform(X.pieces(c(bits), 64), lambda x: X.number(F.rpad(x, 64, "0")))
 
 
 def from_words(words: ColumnOrName, nbits: ColumnOrName) -> Column:

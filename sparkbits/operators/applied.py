@@ -136,13 +136,13 @@ def lexico_all(spark: SparkSession, n: int, k: int) -> DataFrame:
 
 def flips(bits: Column) -> Column:
     """Places where the value changes, counted from a zero before the start; the length comes last."""
-    return F.concat(F.filter(X.span(F.length(bits)), lambda k: X.at(bits, k) != F.when(k == 0, "0").otherwise(X.at(bits, k - 1))), F.array(F.length(bits)))
+    return F.concat(X.places(F.regexp_replace(bits, "^1|(?<=0)1|(?<=1)0", "x"), "x"), F.array(F.length(bits)))
 
 
 def from_flips(places: Column) -> Column:
-    n = F.element_at(places, -1)
-    edges = F.slice(places, F.lit(1), F.size(places) - 1)
-    return X.joined(F.transform(X.span(n), lambda k: (F.size(F.filter(edges, lambda e: e <= k)) % 2).cast("string")))
+    """Runs between neighbouring places, zeros and ones taking turns."""
+    run = lambda p: F.transform(p, lambda z, r: F.repeat((r % 2).cast("string"), z - F.when(r > 0, F.get(p, r - 1)).otherwise(0)))
+    return X.let(places, lambda p: X.joined(run(p)))
 
 
 def sparse_ones(bits: Column) -> Column:
@@ -150,7 +150,13 @@ def sparse_ones(bits: Column) -> Column:
 
 
 def from_sparse(sparse: Column) -> Column:
-    return X.joined(F.transform(X.span(sparse["n"]), lambda k: F.array_contains(sparse["ones"], k).cast("int").cast("string")))
+    """A one after each run of zeros, and the zeros behind the last."""
+    def run(v: Column) -> Column:
+        gaps = F.transform(v["ones"], lambda k, r: F.concat(F.repeat(F.lit("0"), k - F.when(r > 0, F.get(v["ones"], r - 1) + 1).otherwise(0)), F.lit("1")))
+        last = F.when(F.size(v["ones"]) > 0, F.get(v["ones"], F.size(v["ones"]) - 1) + 1).otherwise(0)
+        return F.concat(X.joined(gaps), F.repeat(F.lit("0"), v["n"] - last))
+
+    return X.let(sparse, run)
 
 
 # ---- images

@@ -15,19 +15,42 @@ def _word(size: int = 64):
     return F.expr(f"bit_or(shiftleft(1L, {size - 1} - cast(idx % {size} as int)))")
 
 
+#: Up to this share of ones a word is drawn by the place of its first one.
+SPARSE = 1 / 32
+
+
+def _dense_word(p: float, seed: int):
+    digits = f"{round(p * (1 << 64)):064b}".rstrip("0") if p < 1 else ""
+    word = F.lit(-1 if p == 1 else 0).cast("long")
+    for k, digit in enumerate(reversed(digits)):
+        fair = F.xxhash64(F.lit(seed), F.lit(k), F.col("id"))
+        word = fair if k == 0 else fair.bitwiseOR(word) if digit == "1" else fair.bitwiseAND(word)
+    return word
+
+
+def _sparse_word(p: float, seed: int):
+    """Most words are zero, which one hash tells; the others have their first one by a geometric gap and are drawn densely behind it."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(64), F.col("id")), 11) * F.lit(2.0**-53)
+    some = u < -math.expm1(64 * math.log1p(-p))
+    first = F.least(F.floor(F.log1p(-u) / math.log1p(-p)), F.lit(63)).cast("int")
+    top = F.call_function("shiftleft", F.lit(1).cast("long"), 63 - first)
+    return F.when(some, top.bitwiseOR(_dense_word(p, seed).bitwiseAND(top - 1))).otherwise(F.lit(0).cast("long"))
+
+
 def random_words(spark: SparkSession, n: int, p: float = 0.5, seed: int = 0) -> DataFrame:
     """(word_idx, word) of n bits that are one with probability p each; the last word has zeros behind bit n.
 
     A fair word is one hash. The binary digits of p, from the last to the first, join fair words by
     ``or`` for a one and ``and`` for a zero, which gives every bit the probability p (to 64 digits).
+    For few ones (or few zeros) the gap to the first one of a word is drawn first.
     """
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in range 0.0 <= p <= 1.0")
-    digits = f"{round(p * (1 << 64)):064b}".rstrip("0") if p < 1 else ""
-    word = F.lit(-1 if p == 1 else 0).cast("long")
-    for k, digit in enumerate(reversed(digits)):
-        fair = F.xxhash64(F.lit(seed), F.lit(k), F.col("id"))
-        word = fair if k == 0 else fair.bitwiseOR(word) if digit == "1" else fair.bitwiseAND(word)
+    if 0 < p <= SPARSE or 1 - SPARSE <= p < 1:
+        word = _sparse_word(min(p, 1 - p), seed)
+        word = word if p < 0.5 else F.bitwise_not(word)
+    else:
+        word = _dense_word(p, seed)
     last, rest = divmod(n, 64)
     if rest:
         word = F.when(F.col("id") == last, word.bitwiseAND(F.lit(-1 << (64 - rest)).cast("long"))).otherwise(word)

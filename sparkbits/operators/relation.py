@@ -51,9 +51,31 @@ def count_words(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.groupBy(id_col).agg(F.sum(F.bit_count("word")).alias("ones"))
 
 
+#: Neighbouring indices of one vector that one task numbers; a longer vector is several blocks.
+BLOCK_BITS = 16
+
+
+def ranked(rows: DataFrame, id_col: str, name: str = "rank", weight: Column | None = None, idx: str = "idx") -> DataFrame:
+    """rows with the number of rows (or sum of weights) of the same id and smaller index.
+
+    Blocks of 65,536 indices are summed first; one row a block is then summed over the vector, and inside
+    blocks rows are numbered apart from each other. No task has to hold or sort a whole vector.
+    """
+    weight = F.lit(1) if weight is None else weight
+    block = F.shiftright(F.col(idx).cast("long"), BLOCK_BITS)
+    weighed = rows.withColumn("_b", block).withColumn("_w", weight.cast("long"))
+    sums = weighed.groupBy(id_col, "_b").agg(F.sum("_w").alias("_s"))
+    before = Window.partitionBy(id_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    starts = sums.select(F.col(id_col).alias("_id"), F.col("_b").alias("_block"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(id_col, "_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
+    placed = weighed.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    met = placed.join(starts, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_b") == F.col("_block")))
+    return met.withColumn(name, F.col("_start") + F.col("_in")).drop("_b", "_w", "_in", "_id", "_block", "_start")
+
+
 def renumber(rows: DataFrame, id_col: str) -> DataFrame:
     """Indices 0, 1, ... in the old order."""
-    return rows.withColumn("idx", F.row_number().over(Window.partitionBy(id_col).orderBy("idx")) - 1)
+    return ranked(rows, id_col).withColumn("idx", F.col("rank")).drop("rank")
 
 
 def mask_select(rows: DataFrame, mask: DataFrame, id_col: str) -> DataFrame:
@@ -69,8 +91,7 @@ def mask_delete(rows: DataFrame, mask: DataFrame, id_col: str) -> DataFrame:
 
 def mask_scatter(rows: DataFrame, mask: DataFrame, values: DataFrame, id_col: str) -> DataFrame:
     """The r-th one of the mask takes bit r of values; both have rows (id, idx, bit)."""
-    ranked = mask.where("bit = 1").withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("idx")) - 1)
-    new = ranked.join(values.select(id_col, F.col("idx").alias("rank"), F.col("bit").alias("new")), [id_col, "rank"]).select(id_col, "idx", "new")
+    new = ranked(mask.where("bit = 1"), id_col).join(values.select(id_col, F.col("idx").alias("rank"), F.col("bit").alias("new")), [id_col, "rank"]).select(id_col, "idx", "new")
     return rows.join(new, [id_col, "idx"], "left").select(id_col, "idx", F.coalesce("new", "bit").alias("bit"))
 
 
@@ -90,28 +111,29 @@ def delete(rows: DataFrame, places: DataFrame, id_col: str) -> DataFrame:
 
 
 def intervals(rows: DataFrame, id_col: str) -> DataFrame:
-    """Maximal runs (id, value, start, stop). Runs are found at their ends, so only their edges are sorted on."""
-    order = Window.partitionBy(id_col).orderBy("idx")
-    edge = rows.withColumn("before", F.lag("bit").over(order)).withColumn("size", F.count("*").over(Window.partitionBy(id_col)))
-    firsts = edge.where("before is null or before <> bit")
-    return firsts.select(id_col, F.col("bit").alias("value"), F.col("idx").cast("long").alias("start"), F.coalesce(F.lead("idx").over(order), "size").cast("long").alias("stop"))
+    """Maximal runs (id, value, start, stop): the r-th place where a run begins goes with the r-th where one ends.
+
+    Neighbours meet in joins on (id, idx), so a long vector is spread over tasks.
+    """
+    beside = lambda d: rows.select(F.col(id_col).alias("o_id"), (F.col("idx") + d).alias("o_idx"), F.col("bit").alias("o_bit"))
+    edge = lambda d: rows.join(beside(d), F.col(id_col).eqNullSafe(F.col("o_id")) & (F.col("idx") == F.col("o_idx")), "left").where("o_bit is null or o_bit <> bit").select(id_col, "idx", "bit")
+    starts = ranked(edge(1), id_col).select(F.col(id_col).alias("s_id"), "rank", F.col("bit").alias("value"), F.col("idx").cast("long").alias("start"))
+    ends = ranked(edge(-1), id_col).select(id_col, F.col("rank").alias("e_rank"), (F.col("idx") + 1).cast("long").alias("stop"))
+    return ends.join(starts, F.col(id_col).eqNullSafe(F.col("s_id")) & (F.col("rank") == F.col("e_rank"))).select(id_col, "value", "start", "stop")
 
 
 def count_n(rows: DataFrame, id_col: str, n: int, value: int = 1) -> DataFrame:
-    """(id, place): the least index below which n bits have the value; null where there are fewer.
-
-    Two stages, words and then one word, would do the same for word rows: see ``count_n_words``.
-    """
-    running = F.sum((F.col("bit") == value).cast("int")).over(Window.partitionBy(id_col).orderBy("idx"))
-    return rows.withColumn("seen", running).groupBy(id_col).agg((F.min(F.when(F.col("seen") == n, F.col("idx"))) + 1).alias("place"))
+    """(id, place): the least index below which n bits have the value; null where there are fewer."""
+    seen = ranked(rows, id_col, "seen", (F.col("bit") == value).cast("int"))
+    hit = F.when((F.col("bit") == value) & (F.col("seen") == n - 1), F.col("idx") + 1)
+    return seen.groupBy(id_col).agg((F.lit(0).cast("long") if n == 0 else F.min(hit)).alias("place"))
 
 
 def count_n_words(rows: DataFrame, id_col: str, n: int) -> DataFrame:
     """count_n for ones over word rows: a prefix sum over words, then a search inside one word."""
-    order = Window.partitionBy(id_col).orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0)
-    upto = rows.withColumn("upto", F.sum(F.bit_count("word")).over(order))
-    hit = upto.where((F.col("upto") >= n) & (F.col("upto") - F.bit_count("word") < n))
-    inside = F.element_at(X.search(F.lpad(F.bin("word"), 64, "0"), "1"), (n - F.col("upto") + F.bit_count("word")).cast("int"))
+    upto = ranked(rows, id_col, "before", F.bit_count("word"), idx="word_idx")
+    hit = upto.where((F.col("before") < n) & (F.col("before") + F.bit_count("word") >= n))
+    inside = F.element_at(X.search(F.lpad(F.bin("word"), 64, "0"), "1"), (n - F.col("before")).cast("int"))
     return hit.select(id_col, (64 * F.col("word_idx") + inside + 1).alias("place"))
 
 
@@ -126,11 +148,27 @@ def first_k(set_rows: DataFrame, k: int, right: bool = False) -> DataFrame:
     return set_rows.orderBy(F.desc("idx") if right else F.asc("idx")).limit(k)
 
 
+#: Blocks that the containing side is dealt into where an empty vector asks for all of it.
+BLOCKS = 32
+
+
 def subset_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs (a_id, b_id) with every set index of a in b, by counting shared indices of sparse rows (id, idx)."""
-    size = a.groupBy(F.col("id").alias("a_id")).agg(F.count("*").alias("size"))
-    shared = a.select(F.col("id").alias("a_id"), "idx").join(b.select(F.col("id").alias("b_id"), "idx"), "idx").groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
-    return shared.join(size, "a_id").where("shared = size").select("a_id", "b_id")
+    """Pairs (a_id, b_id) of vectors (id, bits) of one length, every set bit of a being set in b.
+
+    Each a looks only among the b that have its rarest set bit, by the counts of all b, and whole
+    vectors are compared as words. A vector without ones is in every b: such ones meet all b in blocks.
+    """
+    left = a.select(F.col("id").alias("a_id"), F.length("bits").alias("a_n"), W.to_words("bits").alias("a_w"), X.search("bits", "1").alias("a_ones"))
+    right = b.select(F.col("id").alias("b_id"), F.length("bits").alias("b_n"), W.to_words("bits").alias("b_w"), X.search("bits", "1").alias("b_ones"))
+    counts = right.select(F.explode("b_ones").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    asked = left.select("a_id", F.explode("a_ones").alias("idx")).join(counts, F.col("idx") == F.col("k"), "left")
+    rarest = asked.groupBy(F.col("a_id").alias("r_id")).agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "idx"))["idx"].alias("rare"))
+    keyed = left.join(rarest, F.col("a_id").eqNullSafe(F.col("r_id")))
+    some = keyed.join(right.select("b_id", "b_n", "b_w", F.explode("b_ones").alias("idx")), F.col("rare") == F.col("idx"))
+    found = some.where((F.col("a_n") == F.col("b_n")) & W.subset("a_w", "b_w")).select("a_id", "b_id")
+    empty = left.where(F.size("a_ones") == 0).select("a_id", "a_n", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)).cast("array<bigint>")).alias("g"))
+    dealt = right.select("b_id", "b_n", F.pmod(F.xxhash64("b_id"), F.lit(BLOCKS)).alias("h"))
+    return found.unionByName(empty.join(dealt, (F.col("g") == F.col("h")) & (F.col("a_n") == F.col("b_n"))).select("a_id", "b_id"))
 
 
 def bitmap(rows: DataFrame, key: str | list[str], position: Column) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -31,8 +33,16 @@ def user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.array_join(F.transform("e", lambda x: x["b"]), "").alias("bits"))
 
 
+#: All bits of each document's text, in UTF-8.
+TEXT_SQL = "SELECT doc_id AS id, encode(coalesce(text, '')) AS data, CASE WHEN coalesce(text, '') = '' THEN '' ELSE encode(text)::BIT::VARCHAR END AS bits FROM documents"
+
+
+def whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.from_bytes(F.coalesce("text", F.lit("")).cast("binary")).alias("bits"))
+
+
 def vectors(carrier: str) -> tuple[Callable, str]:
-    return {"sign": (sign, SIGN_SQL), "user": (user, USER_SQL)}[carrier]
+    return {"sign": (sign, SIGN_SQL), "user": (user, USER_SQL), "text": (whole_text, TEXT_SQL)}[carrier]
 
 
 def define(name: str, carrier: str, columns: Mapping[str, tuple[Callable[[], Column], str] | Callable[[], Column]]) -> None:

@@ -13,7 +13,7 @@ from .base import bit, define, picked
 
 B = "bits"
 MASK = "1100101"  # repeated over a vector
-MASK_SQL = f"substr(repeat('{MASK}', 40), 1, length(bits))"
+MASK_SQL = f"substr(repeat('{MASK}', (length(bits) // {len(MASK)} + 1)::BIGINT), 1, length(bits))"
 NOT_MASK_SQL = f"translate({MASK_SQL}, '01', '10')"
 ONES = "length(replace(bits, '0', ''))"
 HEX_BYTE = "printf('%02x', list_sum([CASE WHEN substr({0}, j::BIGINT + 1, 1) = '1' THEN 1 << (7 - j) ELSE 0 END for j in range(8)])::BIGINT)"
@@ -70,10 +70,10 @@ define("pack_unpack", "user", {
 define("to_list", "user", {"total": (lambda: F.aggregate(X.to_list(B), F.lit(0), lambda s, x: s + x).cast("long"), f"{ONES}::BIGINT"), "listed": (lambda: F.array_join(X.to_list(B), ","), picked(bit()).replace("'')", "',')"))})
 define("to01_groups", "user", {
     "by5": (lambda: X.to01(B, 5, "-"), "array_to_string([substr(bits, 5 * i + 1, 5) for i in range((length(bits) + 4) // 5)], '-')"),
-    "shown": (lambda: X.show(B), "'bitarray(''' || bits || ''')'"),
+    "shown": (lambda: X.show(B), "'bits(''' || bits || ''')'"),
 })
 define("pretty", "user", {
-    "wrapped": (lambda: X.pretty(B, group=8, indent=2, width=38), "'bitarray(''''''' || chr(10) || array_to_string(['  ' || array_to_string([substr(bits, 32 * l + 8 * g + 1, 8) for g in range((least(32, length(bits) - 32 * l) + 7) // 8)], ' ') for l in range((length(bits) + 31) // 32)], chr(10)) || chr(10) || ''''''')'"),
+    "wrapped": (lambda: X.pretty(B, group=8, indent=2, width=38), "'bits(''''''' || chr(10) || array_to_string(['  ' || array_to_string([substr(bits, 32 * l + 8 * g + 1, 8) for g in range((least(32, length(bits) - 32 * l) + 7) // 8)], ' ') for l in range((length(bits) + 31) // 32)], chr(10)) || chr(10) || ''''''')'"),
 })
 
 # ---- inspection (rows 18-28)
@@ -116,6 +116,10 @@ define("mask_delete", "user", {"kept": (lambda: X.del_mask(B, mask()), picked(bi
 define("mask_scatter", "user", {
     "new": (lambda: X.set_mask(B, mask(), X.invert(X.select_mask(B, mask()))), picked(f"CASE WHEN {bit(text=MASK_SQL)} = '1' THEN translate({bit()}, '01', '10') ELSE {bit()} END")),
 })
+define("mask_fill", "user", {
+    "with_ones": (lambda: X.fill_mask(B, mask(), 1), picked(f"CASE WHEN {bit(text=MASK_SQL)} = '1' THEN '1' ELSE {bit()} END")),
+    "with_zeros": (lambda: X.fill_mask(B, mask(), 0), picked(f"CASE WHEN {bit(text=MASK_SQL)} = '1' THEN '0' ELSE {bit()} END")),
+})
 define("gather", "user", {"taken": (lambda: X.gather(B, F.expr("array(5, 0, -1, 5, 17, -20)")), f"{bit('5')} || {bit('0')} || right(bits, 1) || {bit('5')} || {bit('17')} || {bit('length(bits) - 20')}")})
 define("set_item", "user", {
     "at4": (lambda: X.set_bit(B, 4, 1), "left(bits, 4) || '1' || substr(bits, 6)"),
@@ -173,6 +177,9 @@ define("rotate", "user", {
     "around": (lambda: X.rotate(B, F.length(B) * 2 + 1), "right(bits, 1) || left(bits, length(bits) - 1)"),
 })
 define("reverse", "user", {"reversed": (lambda: X.reverse(B), "reverse(bits)")})
+define("bytereverse_any", "user", {
+    "whole": (lambda: X.bytereverse(B), "left(" + picked("reverse(rpad(substr(bits, 8 * i + 1, 8), 8, '0'))[1:length(substr(bits, 8 * i + 1, 8))]", "range((length(bits) + 7) // 8)") + ", length(bits))"),
+})
 define("bytereverse", "sign", {
     "whole": (lambda: X.bytereverse(B), picked("reverse(substr(bits, 8 * i + 1, 8))", "range(length(bits) // 8)")),
     "some": (lambda: X.bytereverse(B, 1, 3), "left(bits, 8) || reverse(substr(bits, 9, 8)) || reverse(substr(bits, 17, 8)) || substr(bits, 25)"),
@@ -271,14 +278,14 @@ def digits_sql(n: int, m: int, little: bool = False) -> str:
     return picked(f"substr('{V.ALPHABETS[n]}', {number_sql(text, m)} + 1, 1)", f"range(length(bits) // {m})")
 
 
-SHORT60 = "substr(bits, 1, 60)"
 for n, m in ((2, 1), (4, 2), (8, 3), (16, 4), (32, 5), (64, 6)):
-    cut = lambda: F.substring(B, 1, 60)
-    sql = lambda little, n=n, m=m: digits_sql(n, m, little).replace("bits", SHORT60)
+    WHOLE = f"rpad(bits, ((length(bits) + {m - 1}) // {m} * {m})::INT, '0')"  # zeros up to whole digits
+    whole = lambda m=m: F.rpad(B, (m * F.ceil(F.length(B) / m)).cast("int"), F.lit("0"))
+    sql = lambda little, n=n, m=m, text=WHOLE: digits_sql(n, m, little).replace("bits", text)
     define(f"base{n}", "sign", {
-        "big": (lambda n=n: V.to_base(F.substring(B, 1, 60), n), sql(False)),
-        "little": (lambda n=n: V.to_base(F.substring(B, 1, 60), n, "little"), sql(True)),
-        "back": (lambda n=n: V.from_base(V.to_base(F.substring(B, 1, 60), n, "little"), n, "little"), SHORT60),
+        "big": (lambda n=n, whole=whole: V.to_base(whole(), n), sql(False)),
+        "little": (lambda n=n, whole=whole: V.to_base(whole(), n, "little"), sql(True)),
+        "back": (lambda n=n, whole=whole: V.from_base(V.to_base(whole(), n, "little"), n, "little"), WHOLE),
     })
 define("hex", "sign", {
     "grouped": (lambda: V.to_hex(B, group=4, sep=":"), "array_to_string([" + picked(byte_sql("2 * g + i"), "range(2)") + " for g in range(4)], ':')"),
@@ -287,10 +294,11 @@ define("hex", "sign", {
     "bad": (lambda: V.from_hex(F.lit("xy"), strict=False).isNull(), "true"),
 })
 define("bits_to_int", "sign", {
-    "unsigned": (lambda: V.to_int(F.substring(B, 1, 40)).cast("long"), number_sql("bits", 40)),
-    "little": (lambda: V.to_int(F.substring(B, 1, 40), endian="little").cast("long"), number_sql("reverse(left(bits, 40))", 40)),
-    "signed": (lambda: V.to_int(F.substring(B, 1, 12), signed=True).cast("long"), f"({number_sql('bits', 12)} - CASE WHEN left(bits, 1) = '1' THEN 4096 ELSE 0 END)::BIGINT"),
-    "any_size": (lambda: K.int_text(F.concat(F.lit("0000000000"), F.substring(B, 1, 40))), f"({number_sql('bits', 40)})::VARCHAR"),
+    "unsigned": (lambda: V.to_int(B).cast("string"), "bits::BIT::UBIGINT::VARCHAR"),
+    "little": (lambda: V.to_int(B, endian="little").cast("string"), "reverse(bits)::BIT::UBIGINT::VARCHAR"),
+    "signed": (lambda: V.to_int(B, signed=True).cast("string"), "bits::BIT::BIGINT::VARCHAR"),
+    "any_size": (lambda: K.int_text(F.concat(F.lit("0000000000"), B)), "bits::BIT::UBIGINT::VARCHAR"),
+    "any_signed": (lambda: K.int_text(B, signed=True), "bits::BIT::BIGINT::VARCHAR"),
 })
 define("int_to_bits", "sign", {
     "minimal": (lambda: V.from_int(F.col("id")), "bin(id)"),
@@ -331,6 +339,11 @@ define("sc_codec", "sign", {
     "nbits": (lambda: K.sc_stats(K.sc_encoded(B))["nbits"], "length(bits)::BIGINT"),
 })
 
+define("uleb128", "sign", {
+    "coded": (lambda: hexed(K.uleb128(F.col("id") * 300)), "CASE WHEN id * 300 < 128 THEN printf('%02x', id * 300) WHEN id * 300 < 16384 THEN printf('%02x%02x', id * 300 % 128 + 128, id * 300 // 128) WHEN id * 300 < 2097152 THEN printf('%02x%02x%02x', id * 300 % 128 + 128, id * 300 // 128 % 128 + 128, id * 300 // 16384) END"),
+    "back": (lambda: K.uleb128_number(F.concat(K.uleb128(F.col("id") * 300), F.unhex(F.lit("ff"))))["value"], "(id * 300)::BIGINT"),
+})
+
 # ---- prefix codes (rows 93-101)
 
 PAIRS = {"a": "0", "b": "10", "c": "110", "d": "111"}
@@ -338,7 +351,7 @@ PAIR_SQL = "CASE substr(bits, 2 * i + 1, 2) WHEN '00' THEN {0} WHEN '01' THEN {1
 
 
 def pair_symbols():
-    return F.transform(X.span(F.floor(F.length(B) / 2)), lambda k: F.substring(F.lit("abcd"), F.conv(F.substring(B, 2 * k + 1, F.lit(2)), 2, 10).cast("int") + 1, F.lit(1)))
+    return F.transform(F.filter(X.pieces(F.col(B), 2), lambda x: F.length(x) == 2), lambda x: F.element_at(F.create_map(*(F.lit(v) for v in ("00", "a", "01", "b", "10", "c", "11", "d"))), x))
 
 
 define("prefix_encode", "user", {
@@ -364,18 +377,20 @@ define("hex_code", "sign", {  # hex digits through a prefix code
 
 from ..operators import applied as A  # noqa: E402
 
+SENT = 72  # bits sent for 64
 define("hamming_code", "sign", {
-    "back": (lambda: A.hamming_receive(A.hamming_send(F.substring(B, 1, 26)))["bits"], "left(bits, 26)"),
-    "no_error": (lambda: A.hamming_receive(A.hamming_send(F.substring(B, 1, 26)))["errors"], "0::INT"),
-    "fixed": (lambda: A.hamming_receive(X.invert_at(A.hamming_send(F.substring(B, 1, 26)), (F.col("id") % 32).cast("int")))["bits"], "left(bits, 26)"),
-    "one_error": (lambda: A.hamming_receive(X.invert_at(A.hamming_send(F.substring(B, 1, 26)), (F.col("id") % 32).cast("int")))["errors"], "1::INT"),
-    "two_errors": (lambda: A.hamming_receive(X.invert_at(X.invert_at(A.hamming_send(F.substring(B, 1, 26)), 3), 21))["errors"], "2::INT"),
+    "back": (lambda: A.hamming_receive(A.hamming_send(F.col(B)))["bits"], "bits"),
+    "sent": (lambda: F.length(A.hamming_send(F.col(B))).cast("long"), f"{SENT}::BIGINT"),
+    "no_error": (lambda: A.hamming_receive(A.hamming_send(F.col(B)))["errors"], "0::INT"),
+    "fixed": (lambda: A.hamming_receive(X.invert_at(A.hamming_send(F.col(B)), (F.col("id") % SENT).cast("int")))["bits"], "bits"),
+    "one_error": (lambda: A.hamming_receive(X.invert_at(A.hamming_send(F.col(B)), (F.col("id") % SENT).cast("int")))["errors"], "1::INT"),
+    "two_errors": (lambda: A.hamming_receive(X.invert_at(X.invert_at(A.hamming_send(F.col(B)), 3), 21))["errors"], "2::INT"),
 })
 define("small_ints", "sign", {
-    "listed": (lambda: F.array_join(V.small_ints(F.substring(B, 1, 60), 5), ","), "array_to_string([" + number_sql("substr(bits, 5 * i + 1, 5)", 5) + " for i in range(12)], ',')"),
+    "listed": (lambda: F.array_join(V.small_ints(F.rpad(B, 65, "0"), 5), ","), "array_to_string([" + number_sql("substr(rpad(bits, 65, '0'), 5 * i + 1, 5)", 5) + " for i in range(13)], ',')"),
     "third": (lambda: V.small_int_get(B, 5, 3).cast("long"), number_sql("substr(bits, 16, 5)", 5)),
     "changed": (lambda: V.small_int_set(B, 5, 3, 9), "left(bits, 15) || '01001' || substr(bits, 21)"),
-    "back": (lambda: V.from_small_ints(V.small_ints(F.substring(B, 1, 60), 5), 5), "left(bits, 60)"),
+    "back": (lambda: V.from_small_ints(V.small_ints(F.col(B), 8), 8), "bits"),
 })
 define("utf8_code_point", "sign", {
     "point": (lambda: V.code_point(F.concat(F.lit("110"), F.lpad(F.bin(F.shiftright(F.col("id") + 128, 6)), 5, "0"), F.lit("10"), F.lpad(F.bin((F.col("id") + 128).bitwiseAND(F.lit(63))), 6, "0"))).cast("long"), "(id + 128)::BIGINT"),
@@ -394,11 +409,69 @@ define("sparse_forms", "user", {
     "from_flips": (lambda: A.from_flips(A.flips(F.col(B))), "bits"),
     "from_ones": (lambda: A.from_sparse(A.sparse_ones(F.col(B))), "bits"),
 })
+SERIALIZED = "printf('%02x', 16 + (8 - length(bits) % 8) % 8) || " + buffer_sql()
 define("json", "user", {
-    "short": (lambda: V.to_json(F.substring(B, 1, 40)), "'{\"bitarray\":\"' || left(bits, 40) || '\"}'"),
+    "coded": (lambda: V.to_json(B), "CASE WHEN length(bits) <= 50 THEN '{\"bits\":\"' || bits || '\"}' ELSE '{\"bits_b64\":\"' || base64(unhex(" + SERIALIZED + ")) || '\"}' END"),
     "back": (lambda: V.from_json(V.to_json(B)), "bits"),
 })
 define("huffman_files", "user", {
     "plain": (lambda: F.decode(P.decompressed(P.compressed(F.encode(B, "utf-8"))), "utf-8"), "bits"),
     "canonical": (lambda: F.decode(P.decompressed(P.compressed(F.encode(B, "utf-8"), True), True), "utf-8"), "bits"),
 })
+
+# ---- long vectors: all bits of each document's text, up to a million and more
+
+TEXT_HEX = "lower(hex(data))"
+define("long_bytes", "text", {
+    "n": (lambda: F.length(B).cast("long"), "length(bits)::BIGINT"),
+    "bits_md5": (lambda: F.md5(B), "md5(bits)"),
+    "back": (lambda: F.md5(X.to_bytes(B)), "md5(data)"),
+    "little": (lambda: F.md5(X.from_bytes(X.to_bytes(F.reverse(B), "little"), "little")), "md5(reverse(bits))"),
+    "unpacked": (lambda: F.md5(X.unpack(B, b"-", b"x")), "md5(translate(bits, '01', '-x'))"),
+    "packed": (lambda: F.md5(X.pack(X.unpack(B))), "md5(bits)"),
+    "by_words": (lambda: F.md5(W.from_words(W.to_words(B), F.length(B))), "md5(bits)"),
+    "listed": (lambda: F.aggregate(X.to_list(B), F.lit(0), lambda s, x: s + x).cast("long"), f"{ONES}::BIGINT"),
+})
+TEXT_MASK = "repeat('1100101', (length(bits) // 7 + 1)::BIGINT)[1:length(bits)]"
+define("long_bitwise", "text", {
+    "a_and": (lambda: F.md5(X.and_(B, mask())), f"CASE WHEN bits = '' THEN md5('') ELSE md5((bits::BIT & ({TEXT_MASK})::BIT)::VARCHAR) END"),
+    "a_xor": (lambda: F.md5(X.xor(B, mask())), f"CASE WHEN bits = '' THEN md5('') ELSE md5(xor(bits::BIT, ({TEXT_MASK})::BIT)::VARCHAR) END"),
+    "n_or": (lambda: X.count_or(B, mask()).cast("long"), f"CASE WHEN bits = '' THEN 0 ELSE bit_count(bits::BIT | ({TEXT_MASK})::BIT) END::BIGINT"),
+    "tt": (lambda: X.correspond_all(B, mask())["tt"].cast("long"), f"CASE WHEN bits = '' THEN 0 ELSE bit_count(bits::BIT & ({TEXT_MASK})::BIT) END::BIGINT"),
+    "inside": (lambda: X.subset(X.and_(B, mask()), B), "true"),
+    "byte_turned": (lambda: F.md5(X.bytereverse(X.bytereverse(B))), "md5(bits)"),
+})
+define("long_digits", "text", {
+    "hex_md5": (lambda: F.md5(V.to_hex(B)), f"md5({TEXT_HEX})"),
+    "hex_back": (lambda: F.md5(V.from_hex(V.to_hex(B, "little"), "little")), "md5(bits)"),
+    "base64_md5": (lambda: F.md5(V.to_base(F.rpad(B, (6 * F.ceil(F.length(B) / 6)).cast("int"), F.lit("0")), 64)), "md5(rtrim(base64(data), '='))"),
+    "base64_back": (lambda: F.md5(F.left(V.from_base(F.regexp_replace(F.base64(X.to_bytes(B)), "[=\r\n]", ""), 64), F.length(B))), "md5(bits)"),
+    "bytes_sum": (lambda: F.aggregate(V.small_ints(B, 8), F.lit(0), lambda s, x: s + x).cast("long"), "coalesce(list_sum([ord(chr(('0x' || h)::INT)) for h in regexp_extract_all(hex(data), '..')]), 0)::BIGINT"),
+})
+define("long_search", "text", {
+    "ones": (lambda: X.count(B).cast("long"), f"{ONES}::BIGINT"),
+    "pairs": (lambda: F.size(X.search(B, "11")).cast("long"), "coalesce(list_sum([length(r) - 1 for r in regexp_extract_all(bits, '1+')]), 0)::BIGINT"),
+    "third_one": (lambda: F.element_at(X.first_k(B, 3), 3).cast("long"), "(length(regexp_extract(bits, '^0*10*10*1')) - 1)::BIGINT"),
+    "last_zero": (lambda: X.find(B, "0", right=True).cast("long"), "(length(rtrim(bits, '1')) - 1)::BIGINT"),
+    "ones_upto": (lambda: X.count_n(B, X.count(B)).cast("long"), "length(rtrim(bits, '0'))::BIGINT"),
+    "runs": (lambda: F.size(X.intervals(B)).cast("long"), "len(regexp_extract_all(bits, '0+|1+'))::BIGINT"),
+    "longest": (lambda: F.aggregate(X.intervals(B), F.lit(0).cast("long"), lambda s, r: F.greatest(s, r["stop"] - r["start"])), "coalesce(list_max([length(r) for r in regexp_extract_all(bits, '0+|1+')]), 0)::BIGINT"),
+})
+CHARS = "regexp_extract_all(bits, '.')"
+LIST = "list_zip(" + CHARS + ", range(length(bits)))"
+define("long_indices", "text", {
+    "sum_idx": (lambda: X.sum_indices(B).cast("long"), f"coalesce(list_sum([x[2] for x in {LIST} if x[1] = '1']), 0)::BIGINT"),
+    "by3": (lambda: F.md5(X.slice_(B, 1, None, 3)), "md5(regexp_replace(substr(bits, 2), '(.).{0,2}', '\\1', 'g'))"),
+    "backward": (lambda: F.md5(X.slice_(B, None, None, -2)), "md5(regexp_replace(reverse(bits), '(.).?', '\\1', 'g'))"),
+    "kept": (lambda: F.md5(X.select_mask(B, mask())), "md5(regexp_replace(bits, '(.)(.)?.?.?(.)?.?(.)?', '\\1\\2\\3\\4', 'g'))"),
+    "scattered": (lambda: F.md5(X.set_mask(B, mask(), X.select_mask(B, mask()))), "md5(bits)"),
+    "gathered": (lambda: F.md5(X.gather(B, X.search(B, "1"))), f"md5(repeat('1', {ONES}))"),
+    "cleared": (lambda: X.count(X.put_value(B, X.search(B, "1"), 0)).cast("long"), "0::BIGINT"),
+    "deleted": (lambda: F.md5(X.del_list(B, X.search(B, "0"))), f"md5(repeat('1', {ONES}))"),
+    "from_ones": (lambda: F.md5(A.from_sparse(A.sparse_ones(F.col(B)))), "md5(bits)"),
+    "from_flips": (lambda: F.md5(A.from_flips(A.flips(F.col(B)))), "md5(bits)"),
+})
+define("deflate", "text", {
+    "raw": (lambda: F.md5(K.inflate(K.deflated(X.to_bytes(B)))), "md5(data)"),
+    "gzip": (lambda: F.md5(K.inflate(K.deflated(X.to_bytes(B), "gzip"), "gzip")), "md5(data)"),
+})

@@ -14,7 +14,8 @@ from ..operators import applied as A
 from ..operators import generators as G
 from ..operators import relation as R
 from ..streaming import presence as S
-from .base import SIGN_SQL, USER_SQL, query, read, sign, user
+from ..sources import files
+from .base import SIGN_SQL, USER_SQL, bit, query, read, sign, user
 
 BITS_SQL = "SELECT id, i AS idx, substr(bits, i::BIGINT + 1, 1)::INT AS bit FROM ({0}), unnest(range(length(bits))) AS t(i)"
 SIGN_ROWS = BITS_SQL.format(SIGN_SQL)
@@ -41,14 +42,17 @@ def distinct_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sign(spark, sf_dir).select("bits").distinct().agg(F.count("*").alias("n"))
 
 
-SIGN_PAIRS = f"s AS MATERIALIZED ({SIGN_SQL}), p AS (SELECT a.id AS a_id, b.id AS b_id, a.bits AS a, b.bits AS b FROM s a JOIN s b ON a.id // 20 = b.id // 20 AND a.id < b.id), c AS (SELECT a_id, b_id, bit_count(a::BIT & b::BIT)::BIGINT AS tt, bit_count(a::BIT)::BIGINT - bit_count(a::BIT & b::BIT)::BIGINT AS tf, bit_count(b::BIT)::BIGINT - bit_count(a::BIT & b::BIT)::BIGINT AS ft FROM p), k AS (SELECT *, 64 - tt - tf - ft AS ff FROM c)"
+SIGN_PAIRS = f"s AS MATERIALIZED ({SIGN_SQL}), p AS (SELECT a.id AS a_id, b.id AS b_id, a.bits AS a, b.bits AS b FROM s a JOIN s b ON a.id % 20 = 0 AND a.id <> b.id), c AS (SELECT a_id, b_id, bit_count(a::BIT & b::BIT)::BIGINT AS tt, bit_count(a::BIT)::BIGINT - bit_count(a::BIT & b::BIT)::BIGINT AS tf, bit_count(b::BIT)::BIGINT - bit_count(a::BIT & b::BIT)::BIGINT AS ft FROM p), k AS (SELECT *, 64 - tt - tf - ft AS ff FROM c)"
+#: Blocks that all rows are dealt into; the query set goes to each.
+BLOCKS = 16
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors inside groups of 20 neighbouring ids, as words: an equi-join on the group."""
-    v = sign(spark, sf_dir).select("id", "bits", W.to_words("bits").alias("w"), F.floor(F.col("id") / 20).alias("g"))
-    left, right = v.select("g", *(F.col(x).alias(f"a_{x}") for x in ("id", "bits", "w"))), v.select("g", *(F.col(x).alias(f"b_{x}") for x in ("id", "bits", "w")))
-    return left.join(right, "g").where("a_id < b_id")
+    """Every vector with an id divisible by 20 against all others, in blocks: an equi-join on the block."""
+    v = sign(spark, sf_dir).select("id", "bits", W.to_words("bits").alias("w"))
+    left = v.where("id % 20 = 0").select(F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)).cast("array<bigint>")).alias("g"), *(F.col(x).alias(f"a_{x}") for x in ("id", "bits", "w")))
+    right = v.select(F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).alias("g"), *(F.col(x).alias(f"b_{x}") for x in ("id", "bits", "w")))
+    return left.join(right, "g").where("a_id <> b_id")
 
 
 @query(f"WITH {SIGN_PAIRS} SELECT a_id, b_id, tt AS n_and, 64 - ff AS n_or, tf + ft AS n_xor, tt > 0 AS meets, tf = 0 AS inside FROM k")
@@ -75,12 +79,22 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("a_id", "b_id", *(F.round(v, 9).alias(k) for k, v in X.distances_of(F.lit(64.0), ff, F.col("ft"), F.col("tf"), F.col("tt")).items()))
 
 
-@query(f"WITH s AS ({SIGN_ROWS}), o AS (SELECT id, idx FROM s WHERE bit = 1 AND idx < 6) SELECT x.id AS a_id, y.id AS b_id FROM o x JOIN o y ON x.idx = y.idx AND x.id < 40 AND y.id < 40 GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM o z WHERE z.id = x.id)")
+@query(f"WITH s AS MATERIALIZED ({SIGN_SQL}) SELECT a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.id % 20 = 0 AND (a.bits::BIT & b.bits::BIT) = a.bits::BIT")
 def subset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containment between short vectors of neighbours, through shared set indices."""
-    some = sign(spark, sf_dir).where("id < 40").select("id", F.substring("bits", 1, 6).alias("bits"))
-    ones = R.ones(some, "id")
-    return R.subset_pairs(ones, ones)
+    """Vectors with an id divisible by 20, and all vectors that contain them."""
+    v = sign(spark, sf_dir)
+    return R.subset_pairs(v.where("id % 20 = 0"), v)
+
+
+THINNED = "SELECT id, translate(bits, '01', '01') AS bits FROM (SELECT id, array_to_string([CASE WHEN (i + id) % 9 = 0 THEN {0} ELSE '0' END for i in range(length(bits))], '') AS bits FROM ({1}))"
+
+
+@query(f"WITH s AS MATERIALIZED ({SIGN_SQL}), q AS ({THINNED.format(bit(), SIGN_SQL)}) SELECT a.id AS a_id, b.id AS b_id FROM q a JOIN s b ON a.id % 20 = 0 AND (a.bits::BIT & b.bits::BIT) = a.bits::BIT")
+def subset_pairs_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for thinned vectors, of which many contain few ones and some none."""
+    v = sign(spark, sf_dir)
+    thin = v.where("id % 20 = 0").select("id", X.joined(F.transform(X.chars(F.col("bits")), lambda x, k: F.when((k + F.col("id")) % 9 == 0, x).otherwise("0"))).alias("bits"))
+    return R.subset_pairs(thin, v)
 
 
 # ---- bits as rows
@@ -236,18 +250,40 @@ def decode_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT user_id, d.pos, d.bit_index, d.symbol FROM {view}, LATERAL decode_prefix_code(bits) d")
 
 
-@query("SELECT 'b' AS book_id, 0::BIGINT AS incomplete, 4::BIGINT AS complete, 5::BIGINT AS leaf")
+CODE_ROWS = "c(symbol, code) AS (VALUES " + ", ".join(f"('{s}', '{w}')" for s, w in CODE.items()) + ")"
+
+
+@query(f"WITH {CODE_ROWS}, p AS (SELECT left(code, i::BIGINT) AS prefix, count(DISTINCT substr(code, i::BIGINT + 1, 1)) AS children FROM c, range(5) AS r(i) WHERE i < length(code) GROUP BY 1) SELECT 'b' AS book_id, count(*) FILTER (children = 1)::BIGINT AS incomplete, count(*) FILTER (children = 2)::BIGINT AS complete, (SELECT count(*) FROM c)::BIGINT AS leaf FROM p")
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.nodes(_codes(spark))
 
 
-@query("SELECT * FROM (VALUES ('b', 'view', '1'), ('b', 'dup', '0'), ('b', 'click', '0')) AS t(book_id, symbol, code)")
+@query(f"WITH {CODE_ROWS}, x AS (SELECT * FROM c WHERE symbol <> 'view' UNION ALL VALUES ('view', '1'), ('dup', '0')) SELECT DISTINCT 'b' AS book_id, a.symbol, a.code FROM x a JOIN x b ON a.symbol <> b.symbol AND starts_with(b.code, a.code)")
 def ambiguous_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code words that clash: one is a prefix of another, two are equal."""
     bad = _codes(spark).where("symbol <> 'view'").union(spark.createDataFrame([("b", "view", "1"), ("b", "dup", "0")], "book_id string, symbol string, code string"))
     return P.ambiguous(bad)
 
 
+@query(f"WITH {CODE_ROWS} SELECT symbol, code FROM c")
+def tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decode tree back to its code, as rows."""
+    return P.tree_rows(spark, P.DecodeTree(CODE))
+
+
+@query(f"WITH e AS (SELECT user_id, event_id, event_type, {CODE_SQL} AS code FROM events) SELECT user_id, (row_number() OVER w - 1)::INT AS pos, (5 + sum(length(code)) OVER w - length(code) + CASE WHEN row_number() OVER w > 1 THEN 3 ELSE 0 END)::INT AS bit_index, event_type AS symbol FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def decode_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five raw bits before the first symbol and three behind it are passed over."""
+    spark.udtf.register("decode_prefix_code_skipping", P.decoder(CODE, skip={0: 3}, start=5))
+    rows = read(spark, sf_dir, "events")
+    first = rows.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("symbol"))
+    raw = encode_events(spark, sf_dir).join(first, "user_id").join(F.broadcast(_codes(spark).select("symbol", "code")), "symbol")  # five rows
+    n = F.length("code")
+    view = f"coded_{uuid.uuid4().hex}"
+    raw.select("user_id", F.concat(F.lit("10110"), X.head(F.col("bits"), n), F.lit("010"), X.tail(F.col("bits"), n)).alias("bits")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT user_id, d.pos, d.bit_index, d.symbol FROM {view}, LATERAL decode_prefix_code_skipping(bits) d")
+
+
 FREQ_SQL = "SELECT lang AS book_id, ch AS symbol, count(*)::BIGINT AS freq FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY 1, 2"
 
 
@@ -264,8 +300,8 @@ def symbol_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH f AS (SELECT * FROM ({FREQ_SQL}) WHERE symbol <> ''), t AS (SELECT book_id, sum(freq) AS total FROM f GROUP BY book_id) SELECT book_id, round(-sum(freq / total * log2(freq / total)), 6) AS entropy, true AS complete, true AS near_entropy FROM f JOIN t USING (book_id) GROUP BY book_id")
 def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Huffman code for each language: entropy, Kraft's sum is one, mean length within one bit of the entropy."""
-    freqs = _freqs(spark, sf_dir)
-    codes = P.books(freqs)
+    freqs = _freqs(spark, sf_dir).cache()  # a row for each symbol of each alphabet
+    codes = P.books(freqs).cache()
     kraft = codes.groupBy("book_id").agg(F.sum(F.pow(F.lit(2.0), -F.length("code"))).alias("kraft"))
     e = P.efficiency(freqs, codes).join(kraft, "book_id")
     near = (F.col("mean_length") >= F.col("entropy") - 1e-9) & (F.col("mean_length") < F.col("entropy") + 1)
@@ -349,7 +385,7 @@ def rule90(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rule90(spark, "0000000100000000", 20)
 
 
-@query("SELECT 15::INT AS period")
+@query("WITH RECURSIVE r(step, state) AS (SELECT 0, 9 UNION ALL SELECT step + 1, (state >> 1) | (xor(state, state >> 1) % 2 << 3) FROM r WHERE step < 40) SELECT min(step)::INT AS period FROM r WHERE step > 0 AND state = 9")
 def lfsr_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.lfsr_period(A.lfsr(spark, 9, 3, 4, 40))
 
@@ -395,5 +431,17 @@ def presence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "events").schema
     stream = S.event_stream(spark, f"{sf_dir}/events.parquet*", schema)
     name = f"presence_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sparkbits-streams"
-    return S.run_to_table(S.presence(stream), name, f"{base.rstrip('/')}/{name}", "complete")
+    return S.run_to_table(S.presence(stream), name, files.shared_folder(spark, name), "complete")
+
+
+# ---- files
+
+
+@query(f"SELECT id, rpad(bits, ((length(bits) + 7) // 8 * 8)::INT, '0') AS bits FROM ({USER_SQL})")
+def files_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector to a file of raw bytes, and back; pad bits come back as zeros."""
+    folder = files.shared_folder(spark, f"vectors-{uuid.uuid4().hex}")
+    named = user(spark, sf_dir).select(F.concat(F.col("id").cast("string"), F.lit(".bin")).alias("name"), X.to_bytes("bits").alias("content"))
+    files.write_files(named, folder, "name", "content").agg(F.sum("bytes")).collect()
+    back = files.read_files(spark, folder)
+    return back.select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long").alias("id"), "bits")

@@ -11,6 +11,18 @@ from ..functions import text as X
 from ..functions import words as W
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder under ``spark.checkpoint.dir``, which driver and executors share; without that setting only a local master has one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        base = f"file://{tempfile.gettempdir()}/sparkbits-shared"
+    return f"{base.rstrip('/')}/{name}"
+
+
 def read_files(spark: SparkSession, path: str, endian: str = "big") -> DataFrame:
     """(path, bits) of every file; one value a file, so for files that fit a task. Spark's reader passes over empty files."""
     return spark.read.format("binaryFile").load(path).select("path", X.from_bytes("content", endian).alias("bits"))
@@ -21,7 +33,7 @@ def first_bytes(content: Column, n: int, strict: bool = True) -> Column:
     if n < 0:
         return content
     part = F.substring(content, 1, n)
-    return X.fail(F.length(content) >= n, part, "not enough bytes to read") if strict else part
+    return X.fail(F.length(content) >= n, part, "there are fewer bytes") if strict else part
 
 
 def write_vectors(df: DataFrame, path: str, bits_col: str = "bits", endian: str = "big", mode: str = "errorifexists") -> None:
