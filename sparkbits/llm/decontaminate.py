@@ -5,18 +5,22 @@ the longest matching length is tracked; where that length reaches a window of an
 words, or a whole shorter item) the window's words are hit. A stream starts anew where two
 neighbouring words are no pair of any item, because no longer match can span that place.
 
-The automaton goes to the executors, so its size is bounded: items are dealt into shards of at
-most ``shard_words`` words, and documents pass the shards one after another.
+The automaton goes to the executors, so its size is bounded: items are cut into segments that overlap by
+window - 1 words, segments are dealt into shards of about ``shard_words`` words, and documents pass the
+shards one after another. Shards are built in tasks, each as flat numpy arrays of 50 to 80 bytes a
+word; what the driver holds is these arrays, never the items.
 
 Defined cases: a null text or item has no words; an item without words has no window; repeated
 items count once by item_id, items with a null id are written as ''; repeated documents give
-repeated rows; further columns of either table are ignored.
+repeated rows; very long items are segments; a very long document has to fit a row, and its words
+a Python list; an empty table of documents gives no rows, an empty benchmark no hits; further columns of
+either table are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-import itertools
+import pickle
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field, map_arrow, record_batch, row_slices
+from .common import arrow_schema, field, map_arrow, record_batch, row_slices, saved, scratch
 
 #: A-Z to a-z; bytes that end words to spaces. Bytes from 0x80 belong to words.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -37,96 +41,91 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the items of each window."""
+    """Suffix automaton of several word sequences, with the items of each window, in flat arrays.
+
+    ``keys`` has state << 32 | word of every transition in order, ``targets`` the states they lead to.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
-        self.step: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        grown = _Growing()
         sequences = []
         for name, tokens in items:
             if tokens:
-                ids = [self.vocab.setdefault(w, len(self.vocab)) for w in tokens]
+                ids = array("i", (self.vocab.setdefault(w, len(self.vocab)) for w in tokens))
                 sequences.append((name, ids))
                 last = 0
                 for w in ids:
-                    last = self._extend(last, w)
-        self.items: list[set[str]] = [set() for _ in self.step]
-        whole: dict[int, int] = {}
+                    last = grown.extend(last, w)
+        states = len(grown.link)
+        keys = np.fromiter(grown.step.keys(), np.int64, len(grown.step))
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], np.fromiter(grown.step.values(), np.int32, len(keys))[order]
+        self.link, self.length = np.array(grown.link, np.int32), np.array(grown.length, np.int32)
+        self.names = sorted({name for name, _ in sequences})
+        number = {name: k for k, name in enumerate(self.names)}
+        #: For each state the words of a whole short item that it is, or 0.
+        self.whole = np.zeros(states, np.int32)
+        held: set[int] = set()  # state << 32 | item
         for name, ids in sequences:
             n = min(window, len(ids))
             for i in range(len(ids) - n + 1):
                 state = 0
                 for w in ids[i : i + n]:
-                    state = self.step[state][w]
-                self.items[state].add(name)
+                    state = grown.step[state << 32 | w]
+                held.add(state << 32 | number[name])
             if n < window:
-                whole[state] = n
-        #: For each state the ancestor that holds the last ``window`` words, or -1.
-        self.at_window = [-1] * len(self.step)
-        #: For each state the (words, state) of whole short items that end there.
-        self.short: list[tuple[tuple[int, int], ...]] = [()] * len(self.step)
-        for v in sorted(range(1, len(self.step)), key=self.length.__getitem__):
-            up = self.link[v]
-            self.at_window[v] = self.at_window[up] if self.at_window[up] >= 0 else v if self.length[v] >= window else -1
-            self.short[v] = self.short[up] + (((whole[v], v),) if v in whole else ())
+                self.whole[state] = n
+        found = np.sort(np.fromiter(held, np.int64, len(held)))
+        self.item_states, self.items = (found >> 32).astype(np.int32), (found & 0xFFFFFFFF).astype(np.int32)
+        #: For each state the ancestor that holds the last ``window`` words, and the nearest that is a whole short item; or -1.
+        at_window, short = [-1] * states, [-1] * states
+        for v in np.argsort(self.length, kind="stable")[1:].tolist():
+            up = grown.link[v]
+            at_window[v] = at_window[up] if at_window[up] >= 0 else v if grown.length[v] >= window else -1
+            short[v] = v if self.whole[v] else short[up]
+        self.at_window, self.short = np.array(at_window, np.int32), np.array(short, np.int32)
         self.shortest = min((min(window, len(ids)) for _, ids in sequences), default=0)
-        pairs = {a * len(self.vocab) + b for _, ids in sequences for a, b in itertools.pairwise(ids)}
-        self.pairs = np.array(sorted(pairs), np.int64)
-
-    def _extend(self, last: int, w: int) -> int:
-        known = self.step[last].get(w)
-        if known is not None and self.length[known] == self.length[last] + 1:
-            return known
-        if known is not None:
-            return self._clone(last, w, known)
-        state = self._state(self.length[last] + 1, {}, 0)
-        at = last
-        while at >= 0 and w not in self.step[at]:
-            self.step[at][w] = state
-            at = self.link[at]
-        if at >= 0:
-            below = self.step[at][w]
-            self.link[state] = below if self.length[below] == self.length[at] + 1 else self._clone(at, w, below)
-        return state
+        size = len(self.vocab)
+        pairs = [np.asarray(ids[:-1], np.int64) * size + np.asarray(ids[1:], np.int64) for _, ids in sequences if len(ids) > 1]
+        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
 
-    def _state(self, length: int, step: dict[int, int], link: int) -> int:
-        self.length.append(length)
-        self.step.append(step)
-        self.link.append(link)
-        return len(self.step) - 1
+    def to(self, state: int, word: int) -> int:
+        """The state that a word leads to, or -1."""
+        key = state << 32 | word
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.targets[at]) if at < len(self.keys) and self.keys[at] == key else -1
 
-    def _clone(self, at: int, w: int, below: int) -> int:
-        copy = self._state(self.length[at] + 1, dict(self.step[below]), self.link[below])
-        self.link[below] = copy
-        while at >= 0 and self.step[at].get(w) == below:
-            self.step[at][w] = copy
-            at = self.link[at]
-        return copy
+    def items_of(self, state: int) -> list[str]:
+        a, z = np.searchsorted(self.item_states, (state, state + 1))
+        return [self.names[k] for k in self.items[a:z]]
 
     def scan(self, tokens: list[int], runs: list[list[int]], found: set[str], base: int = 0) -> None:
         """Streams tokens; adds [first, end) of hit words to runs, and the items to found."""
         v = matched = 0
-        step, link, length, window = self.step, self.link, self.length, self.window
+        link, length, window, whole, short = self.link, self.length, self.window, self.whole, self.short
         seen: set[int] = set()
         for i, w in enumerate(tokens, base + 1):
-            while v and w not in step[v]:
-                v = link[v]
-                matched = length[v]
-            to = step[v].get(w)
-            if to is None:
+            to = -1 if w < 0 else self.to(v, w)
+            while to < 0 and v:
+                v = int(link[v])
+                matched = int(length[v])
+                to = -1 if w < 0 else self.to(v, w)
+            if to < 0:
                 continue
             v = to
             matched += 1
             widest = 0
             if matched >= window:
                 widest = window
-                seen.add(self.at_window[v])
-            for n, state in self.short[v]:
-                if n <= matched:
-                    widest = max(widest, n)
-                    seen.add(state)
+                seen.add(int(self.at_window[v]))
+            s = int(short[v])
+            while s >= 0:
+                if whole[s] <= matched:
+                    widest = max(widest, int(whole[s]))
+                    seen.add(s)
+                s = int(short[link[s]])
             if widest:
                 if runs and runs[-1][1] >= i - widest:
                     while len(runs) > 1 and runs[-2][1] >= i - widest:
@@ -136,7 +135,7 @@ class Automaton:
                 else:
                     runs.append([i - widest, i])
         for state in seen:
-            found.update(self.items[state])
+            found.update(self.items_of(state))
 
     def match(self, texts: list[list[bytes]]) -> list[tuple[list[list[int]], set[str]]]:
         """For each word list the hit runs and the items."""
@@ -169,25 +168,106 @@ class Automaton:
         return out
 
 
+class _Growing:
+    """A suffix automaton that is being built: one dict of transitions, and the words of each state as linked lists."""
+
+    def __init__(self) -> None:
+        self.link, self.length, self.first = array("i", [-1]), array("i", [0]), array("i", [-1])
+        self.words, self.more = array("i"), array("i")
+        self.step: dict[int, int] = {}
+
+    def _new(self, length: int, link: int) -> int:
+        self.length.append(length)
+        self.link.append(link)
+        self.first.append(-1)
+        return len(self.length) - 1
+
+    def _put(self, state: int, w: int, to: int) -> None:
+        self.words.append(w)
+        self.more.append(self.first[state])
+        self.first[state] = len(self.words) - 1
+        self.step[state << 32 | w] = to
+
+    def extend(self, last: int, w: int) -> int:
+        known = self.step.get(last << 32 | w, -1)
+        if known >= 0:
+            return known if self.length[known] == self.length[last] + 1 else self._split(last, w, known)
+        state = self._new(self.length[last] + 1, 0)
+        at = last
+        while at >= 0 and (at << 32 | w) not in self.step:
+            self._put(at, w, state)
+            at = self.link[at]
+        if at >= 0:
+            below = self.step[at << 32 | w]
+            self.link[state] = below if self.length[below] == self.length[at] + 1 else self._split(at, w, below)
+        return state
+
+    def _split(self, at: int, w: int, below: int) -> int:
+        """A state for the shorter words of ``below``, which keeps the longer ones."""
+        upper = self._new(self.length[at] + 1, self.link[below])
+        edge = self.first[below]
+        while edge >= 0:
+            word = self.words[edge]
+            self._put(upper, word, self.step[below << 32 | word])
+            edge = self.more[edge]
+        self.link[below] = upper
+        while at >= 0 and self.step.get(at << 32 | w) == below:
+            self.step[at << 32 | w] = upper
+            at = self.link[at]
+        return upper
+
+
 class Shards(NamedTuple):
-    automata: list
+    automata: list[bytes]  # pickled
     window: int
 
 
-def build(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 10, shard_words: int = 2_000_000) -> Shards:
-    """Reads the items one after another and closes a shard before it would hold more than shard_words words."""
-    rows = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(text_col).cast("binary")).distinct().toLocalIterator()
-    shards: list[Automaton] = []
-    held: list[tuple[str, list[bytes]]] = []
-    n = 0
-    for name, text in rows:
-        tokens = words(bytes(text) if text is not None else None)
-        if held and n + len(tokens) > shard_words:
-            shards.append(Automaton(held, window))
-            held, n = [], 0
-        held.append((name, tokens))
-        n += len(tokens)
-    return Shards([*shards, Automaton(held, window)], window)
+#: Words of a segment of an item.
+SEGMENT = 20_000
+
+
+def segments(bench: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """Rows (name, words, n) of the distinct items, cut into segments that overlap by window - 1 words."""
+    rows = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).cast("binary").alias("text")).distinct()
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("n", T.LongType())])
+    to = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = words(text)
+                parts = [tokens[k : k + SEGMENT + window - 1] for k in range(0, max(1, len(tokens) - window + 1), SEGMENT)] if tokens else []
+                yield record_batch(to, [[name] * len(parts), parts, [len(p) for p in parts]])
+
+    return map_arrow(rows, run, schema)
+
+
+def build(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 10, shard_words: int = 500_000) -> Shards:
+    """One automaton for each shard of about shard_words words, built in a task of its own."""
+    schema = T.StructType([T.StructField("automaton", T.BinaryType())])
+    to = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, list[bytes]]] = []
+        shard = None
+        for batch in batches:
+            for k, name, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != shard and held:
+                    yield record_batch(to, [[pickle.dumps(Automaton(held, window))]])
+                    held = []
+                shard = k
+                held.append((name, tokens))
+        if held:
+            yield record_batch(to, [[pickle.dumps(Automaton(held, window))]])
+
+    with scratch(bench.sparkSession):
+        rows = saved(segments(bench, item_col, text_col, window), "decontaminate-segments")
+        total = rows.agg(F.sum("n")).first()[0] or 0
+        count = max(1, -(-total // shard_words))
+        dealt = rows.select(F.pmod(F.xxhash64("name", "words"), F.lit(count)).alias("shard"), "name", "words").repartition(count, "shard").sortWithinPartitions("shard")
+        found = saved(map_arrow(dealt, run, schema), "decontaminate-shards")
+        blobs = [bytes(r.automaton) for r in found.toLocalIterator()]  # one shard after another
+    return Shards(blobs or [pickle.dumps(Automaton([], window))], window)
 
 
 def merged(runs: list[list[int]]) -> list[list[int]]:
@@ -207,10 +287,10 @@ def matches(docs: DataFrame, shards: Shards, id_col: str = "doc_id", text_col: s
     to = arrow_schema(schema)
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), *carry, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("runs"), F.array().cast("array<string>").alias("items"))
     for shard in shards.automata:
-        sent = sc.broadcast(shard)  # at most shard_words words
+        sent = sc.broadcast(shard)  # about shard_words words
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = sent.value
+            automaton = pickle.loads(sent.value)
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 for start, stop in row_slices([len(t or b"") for t in texts]):
@@ -258,7 +338,7 @@ def without_runs(text: str, runs: list[list[int]]) -> str:
 def clean(docs: DataFrame, bench: DataFrame, window: int = 10, max_coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with hit runs removed from the text; documents hit over more than max_coverage of their words go."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    packed = docs.select(id_col, text_col, F.struct(*(rest or [F.lit(0).alias("none")])).alias("_rest"))
+    packed = docs.select(id_col, text_col, F.struct(*([F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("none")])).alias("_rest"))
     found = matches(packed, build(bench, window=window), id_col, text_col, ("_rest",))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
     to, names = arrow_schema(schema), docs.columns

@@ -8,8 +8,10 @@ Training rows are a bounded sample: at most about ``per_language`` rows and ``by
 bytes of each language, drawn by a hash of the id from all rows that may be learned from.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any training
-row everything is ``und``; with one language every text with a letter is of it. A row goes in, a
-row comes out, whatever its id; further columns are ignored.
+row everything is ``und``; with one language every text with a letter is of it; of equal losses the
+first language by name. A row goes in, a row comes out, whatever its id; a very long text is hashed in
+pieces of 1 MB but is no training row above LONGEST bytes; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import arrow_schema, field, held_out, map_arrow, record_batch
 from .subwords import ngrams, sparse, summed
 
 SIZES, BITS = (1, 2, 3, 4), 14
+#: Bytes of a training row at most.
+LONGEST = 1 << 20
 #: ASCII letters stay, all other ASCII separates words.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -66,15 +70,16 @@ def letters(text: str | None) -> bytes:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, bytes_per_language: int) -> list:
-    rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= LONGEST))
     sizes = rows.groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("b")).collect()  # one row per language
     if not sizes:
         return []
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col(lang_col).cast("string") == r.l, float(min(1, per_language / r.n, bytes_per_language / max(1, r.b)))).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30)) < share * (1 << 30)
-    return [(r[0], r[1]) for r in rows.where(drawn).select(F.col(lang_col).cast("string"), text_col).limit(2 * per_language * len(sizes)).collect()]
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30))
+    drawn = rows.where(place < share * (1 << 30)).select(F.col(lang_col).cast("string"), text_col, place.alias("_place"))
+    return [(r[0], r[1]) for r in drawn.orderBy("_place", text_col).limit(2 * per_language * len(sizes)).collect()]
 
 
 def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 40.0, seed: int = 5) -> Model:
@@ -131,7 +136,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 out.append(decode(model, total / max(1, n) + model.bias, flag_below))
             yield record_batch(to, [batch.column(0), batch.column(1), *(list(x) for x in zip(*out))] if out else [batch.column(0), batch.column(1), [], [], []])
 
-    key: Column = F.struct(*docs.columns) if carry else F.col(id_col)
+    key: Column = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.col(id_col)
     rows = docs.select(key.alias("row"), held_out(F.col(id_col)).alias("held_out"), *([] if carry else [F.col(text_col).alias("_text")]))
     schema = T.StructType([field(rows, "row"), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     to = arrow_schema(schema)

@@ -36,7 +36,7 @@ s AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS z FROM g GROUP BY doc_id, run)
 b AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM s),
 k AS (SELECT doc_id, string_agg(substr(hx, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept FROM b JOIN d USING (doc_id) GROUP BY doc_id),
 e AS (SELECT doc_id, max(z) AS last, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM s GROUP BY doc_id),
-ws AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), x -> x <> '') AS words FROM documents),
+ws AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS words FROM documents),
 ww AS (SELECT doc_id, p, md5_number(array_to_string(words[p + 1 : p + 50], ' ')) AS k FROM ws, unnest(range(greatest(len(words) - 49, 0))) AS t(p)),
 wr AS (SELECT k FROM ww GROUP BY k HAVING count(*) > 1),
 wm AS (SELECT doc_id, p, least(50, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p)) AS gain FROM ww SEMI JOIN wr USING (k)),

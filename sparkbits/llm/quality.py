@@ -10,7 +10,8 @@ Training rows are a bounded sample of the labelled rows that may be learned from
 
 Defined cases: null and empty texts get the score of a document without features (the share of
 label 1 among the training rows), and so does everything when there is nothing to learn from (0.5). A row goes in,
-a row comes out; further columns are ignored; labels for unknown ids and null labels are unused;
+a row comes out; a very long text is hashed in pieces of 1 MB but is no training row above LONGEST bytes; an
+empty table gives no rows; further columns are ignored; labels for unknown ids and null labels are unused;
 of several labels of one document all count.
 """
 
@@ -30,6 +31,8 @@ from .common import arrow_schema, field, held_out, map_arrow, record_batch
 from .subwords import ngrams, sparse, summed, word_hashes
 
 SIZES, BITS, DIM = (2, 3, 4), 15, 12
+#: Bytes of a training row at most.
+LONGEST = 1 << 20
 BLANKS = bytes(32 if b in b"\t\n\r\x0b\x0c" else b for b in range(256))
 
 
@@ -51,9 +54,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         return []
     mean = docs.select(F.avg(F.octet_length(text_col)).alias("b")).first().b or 1
     most = max(1, int(min(most_rows, most_bytes / max(1, mean))))
-    drawn = known.where(F.pmod(F.xxhash64(F.col("_label_id").cast("string"), F.lit("quality")), F.lit(1 << 30)) < int(min(1, most / n) * (1 << 30))).limit(2 * most)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), F.col("_id") == F.col("_label_id"))  # at most 2 * most rows
-    return [(r[0], r[1]) for r in rows.select("_label", "_text").limit(2 * most).collect()]
+    place = F.pmod(F.xxhash64(F.col("_label_id").cast("string"), F.lit("quality")), F.lit(1 << 30))
+    drawn = known.withColumn("_place", place).where(F.col("_place") < int(min(1, most / n) * (1 << 30))).orderBy("_place", "_label").limit(2 * most)
+    rows = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= LONGEST).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), F.col("_id") == F.col("_label_id"))  # at most 2 * most rows
+    return [(r[0], r[1]) for r in rows.orderBy("_place", "_label", "_text").limit(2 * most).select("_label", "_text").collect()]
 
 
 def train(rows: list[tuple[int, str]], epochs: int = 6, rate: float = 3.0, seed: int = 8) -> Model:

@@ -8,7 +8,8 @@ emptied when it holds ``table_bytes``; a chunk met after that is segmented again
 
 Defined cases: null and empty texts have no ids and decode to ''. A literal U+2581 counts as a
 space, as in the library. Repeated rows, null ids and further columns do no harm: a row goes in, a
-row comes out, and only the asked columns are returned.
+row comes out, and only the asked columns are returned; an empty table gives no rows. A very long text
+has to fit a row, and the list of its chunks a worker; words of any length are one chunk.
 """
 
 from __future__ import annotations

@@ -1,17 +1,20 @@
 """URL filters: rules first, then segmented words and naive Bayes.
 
 Host labels and path pieces are split into words by the most likely segmentation under a unigram
-model (Viterbi). Words are then scored by multinomial naive Bayes. No table marks pages, so the
-classes are made by seed words: a URL with a seed word is of class block, any other of class allow,
-and the words that go with the seeds are learned from all URLs.
-
-Word counts of both models are taken over all rows and all words count. The ``vocabulary`` most frequent
-words are sent to executors; rarer ones are joined to the pieces and rows that hold them. A word of the
-unigram model occurs twice at least, as a single occurrence is just the piece that is to be split.
-
-Defined cases: a null URL or one without '://' has an empty host and path; without any word the
-verdict is the more frequent class (allow if none); longest rule first, of equally long ones the
-earlier; a row goes in, a row comes out; further columns are ignored.
+model (Viterbi). Words are then scored by multinomial naive Bayes, whose two classes are the URLs that
+a rule blocks and those that a rule allows: rules are the only marks that pages have. The URLs without
+a rule get the likelier class.
+
+Word counts of both models are taken over all rows and all words count. A unigram count is less one, so
+that no piece vouches for itself as a word. The ``vocabulary`` most frequent words are sent to executors;
+rarer ones are joined to the pieces and rows that hold them. A word of the classes is any that a URL under
+a rule has; other words say nothing about a class. Both are smoothed by SMOOTH for each distinct word.
+
+Defined cases: a null URL or one without '://' has an empty host and path; without any known word the
+verdict is the more frequent class, and allow where no URL is under a rule or both are as frequent;
+longest rule first, of equally long ones the earlier; letters beyond the LONGEST-th of a piece begin a
+new word, so a very long URL is split in time and memory in proportion to its length; a row goes in, a row
+comes out, whatever its id; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field, map_arrow, record_batch, saved
+from .common import arrow_schema, field, map_arrow, record_batch, saved, scratch
 
 
 class Rule(NamedTuple):
@@ -44,12 +47,11 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-# Words that make a URL one of class block.
-SEEDS = (
-    "adult betting bets bitcoins casino cialis cracks escort gambling hentai jackpot keygen lottery malware nude payday phishing pills poker porn replica scam sex slots spam torrent viagra warez xxx"
-).split()
-LONGEST = 24
-MEMO = 200_000
+#: Letters of a word at most; the label of a host has no more.
+LONGEST = 63
+#: Letters of the pieces whose splits a worker holds.
+MEMO = 8 << 20
+SMOOTH = 0.1
 
 
 def _tail(url: Column) -> Column:
@@ -89,19 +91,25 @@ class Segmenter:
         total = self.total = total or sum(counts.values()) + 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         self.unknown = math.log(total)
+        self.longest = max(map(len, counts), default=1)
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.held = 0
 
     def split(self, name: str, rare: dict[str, int] | None = None) -> tuple[str, ...]:
         """rare: counts of further words that may be in this name."""
         if rare:
             own = Segmenter({}, self.total)
             own.cost = {w: self.cost[w] for w in _parts(name) if w in self.cost} | {w: math.log(self.total / n) for w, n in rare.items()}
+            own.longest = max(map(len, own.cost))
             return own.split(name)
         if name in self.memo:
             return self.memo[name]
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
-            options = ((best[start] + self.cost.get(name[start:end], self.unknown + 2.3 * (end - start)), start) for start in range(max(0, end - LONGEST), end))
+            options = [(best[start] + self.cost.get(name[start:end], self.unknown + 2.3 * (end - start)), start) for start in range(max(0, end - self.longest), end)]
+            if end > self.longest:  # a longer piece is an unknown word: its first letter at the earliest
+                first = max(0, end - LONGEST)
+                options += [(best[start] + self.unknown + 2.3 * (end - start), start) for start in range(first, end - self.longest)]
             cost, start = min(options)
             best.append(cost)
             back.append(start)
@@ -109,9 +117,11 @@ class Segmenter:
         while end:
             words.append(name[back[end] : end])
             end = back[end]
-        if len(self.memo) >= MEMO:
+        if self.held > MEMO:
             self.memo.clear()
+            self.held = 0
         self.memo[name] = found = tuple(reversed(words))
+        self.held += len(name)
         return found
 
 
@@ -119,8 +129,8 @@ PIECE = re.compile(r"[^\W\d_]+|\d+")
 
 
 def pieces_of(host: str, path: str) -> list[str]:
-    """Runs of letters and of digits in all host labels but the last and in the path."""
-    return [p for name in [*host.split(":")[0].split(".")[:-1], path.lower()] for p in PIECE.findall(name)]
+    """Runs of letters and of digits in the host's labels and in the path."""
+    return [p for name in (host.split(":")[0], path.lower()) for p in PIECE.findall(name)]
 
 
 def words_of(host: str, path: str, segmenter: Segmenter, known: Mapping[str, Sequence[str]] | None = None) -> list[str]:
@@ -153,24 +163,17 @@ def _dict(given: list | None) -> dict:
 
 
 def unigrams(pages: DataFrame, url_col: str, body_col: str | None, vocabulary: int) -> tuple[Segmenter, DataFrame | None]:
-    """Segmenter over the most frequent words of titles, hosts and paths and the seeds; the table (w, n) of all other words."""
+    """Segmenter over the most frequent words of titles, hosts and paths; the table (w, n) of all other words."""
     url = F.col(url_col)
     texts = [F.concat_ws(" ", host_of(url), path_of(url))]
     if body_col:
         texts.append(F.regexp_extract(F.col(body_col), r"(?i)<title>([^<]*)", 1))
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    counted = saved(words.where(F.length("w").between(1, LONGEST)).groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "url-unigrams")
-    sizes = counted.groupBy("n").agg(F.count("*").alias("k")).orderBy("n").collect()  # distinct counts, about the root of the words' sum at most
-    middle, at, likely = sum(r.k for r in sizes) // 2, 0, 2
-    for r in sizes:
-        if at <= middle < at + r.k:
-            likely = max(2, r.n)
-        at += r.k
-    seeds = {r.w: r.n for r in counted.where(F.col("w").isin(*SEEDS)).collect()}  # at most the seeds
-    raised = {w: max(likely, seeds.get(w, 0)) for w in SEEDS}
+    counted = words.where(F.length("w").between(1, LONGEST)).groupBy("w").agg((F.count("*") - 1).alias("n")).where("n > 0")
+    counted = saved(counted, "url-unigrams")
+    total = (counted.agg(F.sum("n")).first()[0] or 0) + 1
     top, rest = _top(counted, "w", vocabulary)
-    total = sum(r.n * r.k for r in sizes) - sum(seeds.values()) + sum(raised.values()) + 1
-    return Segmenter({**{r.w: r.n for r in top}, **raised}, total), None if rest is None else rest.where(~F.col("w").isin(*SEEDS))
+    return Segmenter({r.w: r.n for r in top}, total), rest
 
 
 def _rare_splits(urls: DataFrame, model, rare: DataFrame) -> DataFrame:
@@ -200,61 +203,59 @@ def _rare_splits(urls: DataFrame, model, rare: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", body_col: str | None = "html", vocabulary: int = 50_000) -> DataFrame:
     """page_id, host, path, rule, verdict, words and block_score for every row."""
     sc = pages.sparkSession.sparkContext
-    segmenter, rare = unigrams(pages, url_col, body_col, vocabulary)
-    model = sc.broadcast(segmenter)  # at most vocabulary words and the seeds
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    urls = urls.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    cut = T.StructType([*urls.schema.fields, T.StructField("pieces", T.ArrayType(T.StringType()))])
-    cut_to = arrow_schema(cut)
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield record_batch(cut_to, [*batch.columns, [pieces_of(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]])
-
-    top, rest, columns = [], None, urls.columns
-    if rare is None:
-        urls = urls.withColumn("row_no", F.monotonically_increasing_id())
-    else:
-        urls = saved(map_arrow(urls, pieces, cut).withColumn("row_no", F.monotonically_increasing_id()), "url-pieces-of-rows")
-        top, rest = _top(_rare_splits(urls, model, rare), "piece", vocabulary)
-    frequent = sc.broadcast({r.piece: tuple(r.words) for r in top})  # at most vocabulary pieces
-    urls = _per_row(urls, F.col("pieces"), rest, "piece", F.col("words")).select(*columns, "row_no", "given")
-    schema = T.StructType([*urls.schema.fields[:-1], T.StructField("words", T.ArrayType(T.StringType())), T.StructField("seeded", T.BooleanType())])
-    to = arrow_schema(schema)
-
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = set(SEEDS)
-        for batch in batches:
-            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(6).to_pylist())
-            found = [words_of(h, p, model.value, ChainMap(_dict(g), frequent.value)) for h, p, g in rows]
-            yield record_batch(to, [*batch.columns[:6], found, [not seeds.isdisjoint(w) for w in found]])
-
-    split = saved(map_arrow(urls, segment, schema), "url-words")
-    rows = split.groupBy("seeded").agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("w")).collect()  # two rows
-    documents = {bool(r.seeded): r.n for r in rows}
-    tokens = {bool(r.seeded): r.w for r in rows}
-    counts = split.select("seeded", F.explode("words").alias("w")).groupBy("w").agg(F.count_if("seeded").alias("block"), F.count_if(~F.col("seeded")).alias("allow"))
-    counts = saved(counts.withColumn("n", F.col("block") + F.col("allow")), "url-counts")
-    smooth = 0.1 * (counts.count() + 1)
-    of = {k: tokens.get(k) or 0 for k in (True, False)}
-    log_ratio = lambda block, allow: math.log((block + 0.1) / (of[True] + smooth)) - math.log((allow + 0.1) / (of[False] + smooth))
-    top, rest = _top(counts, "w", vocabulary)
-    ratio = {r.w: log_ratio(r.block, r.allow) for r in top}
-    prior = math.log((documents.get(True, 0) + 0.1) / (documents.get(False, 0) + 1))
-    weights = sc.broadcast((ratio, prior))  # at most vocabulary words
-    split = _per_row(split, F.col("words"), rest, "w", F.array("block", "allow")).select(*columns, "words", "given")
-    result = T.StructType([field(pages, id_col), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("block_score", T.DoubleType())])
-    out = arrow_schema(result)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio, prior = weights.value
-        for batch in batches:
-            words, ruled = batch.column(5).to_pylist(), batch.column(4).to_pylist()
-            rare = [{w: log_ratio(*v) for w, v in _dict(g).items()} for g in batch.column(6).to_pylist()]
-            odds = [prior + sum(ratio[x] if x in ratio else r[x] for x in w) for w, r in zip(words, rare)]
-            verdicts = [r or ("block" if o > 0 else "allow") for r, o in zip(ruled, odds)]
-            yield record_batch(out, [*batch.columns[:4], verdicts, batch.column(5), [1 / (1 + math.exp(-max(-700.0, min(700.0, o)))) for o in odds]])
-
-    return map_arrow(split, score, result)
+    with scratch(pages.sparkSession) as work:
+        segmenter, rare = unigrams(pages, url_col, body_col, vocabulary)
+        model = sc.broadcast(segmenter)  # at most vocabulary words
+        host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
+        urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+        rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+        urls = urls.select("*", rule.alias("rule"), verdict.alias("ruled"))
+        cut = T.StructType([*urls.schema.fields, T.StructField("pieces", T.ArrayType(T.StringType()))])
+        cut_to = arrow_schema(cut)
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield record_batch(cut_to, [*batch.columns, [pieces_of(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]])
+
+        top, rest, columns = [], None, urls.columns
+        if rare is None:
+            urls = urls.withColumn("row_no", F.monotonically_increasing_id())
+        else:
+            urls = saved(map_arrow(urls, pieces, cut).withColumn("row_no", F.monotonically_increasing_id()), "url-pieces-of-rows")
+            top, rest = _top(_rare_splits(urls, model, rare), "piece", vocabulary)
+        frequent = sc.broadcast({r.piece: tuple(r.words) for r in top})  # at most vocabulary pieces
+        urls = _per_row(urls, F.col("pieces"), rest, "piece", F.col("words")).select(*columns, "row_no", "given")
+        schema = T.StructType([*urls.schema.fields[:-1], T.StructField("words", T.ArrayType(T.StringType()))])
+        to = arrow_schema(schema)
+
+        def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(6).to_pylist())
+                yield record_batch(to, [*batch.columns[:6], [words_of(h, p, model.value, ChainMap(_dict(g), frequent.value)) for h, p, g in rows]])
+
+        split = saved(map_arrow(urls, segment, schema), "url-words")
+        classes = {r.ruled: r for r in split.where("ruled is not null").groupBy("ruled").agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("w")).collect()}  # two rows
+        block, allow = (classes.get(k) for k in ("block", "allow"))
+        counts = split.where("ruled is not null").select("ruled", F.explode("words").alias("w")).groupBy("w").agg(F.count_if(F.col("ruled") == "block").alias("block"), F.count_if(F.col("ruled") == "allow").alias("allow"))
+        counts = saved(counts.withColumn("n", F.col("block") + F.col("allow")), "url-counts")
+        smooth = SMOOTH * counts.count()
+        in_block, in_allow = (max(smooth, SMOOTH) + (x.w if x else 0) for x in (block, allow))
+        log_ratio = lambda b, a: math.log((b + SMOOTH) / in_block) - math.log((a + SMOOTH) / in_allow)
+        top, rest = _top(counts, "w", vocabulary)
+        ratio = {r.w: log_ratio(r.block, r.allow) for r in top}
+        prior = math.log(((block.n if block else 0) + SMOOTH) / ((allow.n if allow else 0) + SMOOTH))
+        weights = sc.broadcast((ratio, prior))  # at most vocabulary words
+        split = _per_row(split, F.col("words"), rest, "w", F.array("block", "allow")).select(*columns, "words", "given")
+        result = T.StructType([field(pages, id_col), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("block_score", T.DoubleType())])
+        out = arrow_schema(result)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ratio, prior = weights.value
+            for batch in batches:
+                words, ruled = batch.column(5).to_pylist(), batch.column(4).to_pylist()
+                rare = [{w: log_ratio(*v) for w, v in _dict(g).items()} for g in batch.column(6).to_pylist()]
+                odds = [prior + sum(ratio[x] if x in ratio else r.get(x, 0.0) for x in w) for w, r in zip(words, rare)]
+                verdicts = [r or ("block" if o > 0 else "allow") for r, o in zip(ruled, odds)]
+                yield record_batch(out, [*batch.columns[:4], verdicts, batch.column(5), [1 / (1 + math.exp(-max(-700.0, min(700.0, o)))) for o in odds]])
+
+        return work.result(map_arrow(split, score, result), "url-verdicts")
