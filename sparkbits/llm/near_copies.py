@@ -1,16 +1,20 @@
-"""Near copies by five-word shingles: texts with a Jaccard similarity of 0.8 or more, found by a prefix filter.
+"""The exact search behind ``simhash_dedup.deduplicate``: texts with a Jaccard similarity of 0.8 or more.
 
-Texts are sets of XXH64 hashes of word n-grams. In any common order of hashes, two sets of similarity
-0.8 share one of the first k - ceil(0.8 k) + 1 of either's k hashes, so an inverted index over these
-prefixes misses no pair. The order is by the count of a hash's bucket, rarest first, which keeps
+Texts are sets of XXH64 hashes of word n-grams. Fingerprints within a few bits give the first
+candidates (``simhash_dedup.links``); as similar texts may differ in more bits than any index over their
+bytes can promise to find, a prefix filter finds the rest: in any common order of hashes, two sets of
+similarity 0.8 share one of the first k - ceil(0.8 k) + 1 of either's k hashes, so an inverted index over
+these prefixes misses no pair. The order is by the count of a hash's bucket, rarest first, which keeps
 widespread passages out of prefixes. A pair whose places in a list leave too little overlap goes
 (positional filter); the others are verified on whole sets.
 
-The members of a list are first held against its least member, which links a large group of near
-copies without its pairs; after star contraction only pairs of a list in different groups are left.
+Large groups of near copies are linked without their pairs: in each of ROUNDS rounds a text is held
+against one text of another group at most, the least member of its longest list. Only pairs that lie in
+different groups after that are all looked at.
 
 Defined cases: equal texts are one node; texts without words are near copies of each other; a text
-with fewer than n words is one shingle; equal rows become one; null ids come last.
+with fewer than n words is one shingle; equal rows become one; null ids come last. Nodes are 64-bit
+hashes of texts.
 """
 
 from __future__ import annotations
@@ -19,16 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, map_arrow, record_batch, saved
+from .common import arrow_schema, map_arrow, record_batch, saved, scratch
 from .components import components
 from .simhash_dedup import shingle_hashes
 
 #: Bits of a hash that number its bucket.
 BUCKET_BITS = 16
+#: Rounds in which each text is held against one other.
+ROUNDS = 2
 
 
 def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
@@ -90,7 +96,7 @@ def _may_link(size: Column, rest: Column, size2: Column, rest2: Column) -> Colum
     return (5 * F.least(size, size2) >= 4 * F.greatest(size, size2)) & (9 * F.least(rest, rest2) >= 4 * (size + size2))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     text = lambda k: texts.select(F.col("_node").alias(k), F.col("_text").alias(f"text_{k}"))
     both = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
@@ -105,34 +111,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return map_arrow(both, run, schema)
 
 
-def links(texts: DataFrame, n: int = 5) -> DataFrame:
-    """Edges (a, b) that span the groups of near copies; texts has a distinct _node and _text."""
-    index = saved(_index(texts, n), "near-index")
-    heads = saved(index.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("size", "node", "rest")).alias("head")).where("n > 1").withColumnRenamed("key", "k"), "near-heads")
-    lists = saved(index.join(heads, F.col("key") == F.col("k")).select("key", "node", "size", "rest", "head"), "near-lists")
-    fits = _may_link(F.col("size"), F.col("rest"), F.col("head.size"), F.col("head.rest"))
-    stars = saved(lists.where((F.col("node") != F.col("head.node")) & fits).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
-    first = saved(_verified(stars, texts, n), "near-star-links")
-    roots = saved(components(first), "near-star-roots").withColumnRenamed("node", "r_node").distinct()
-    rooted = lists.join(roots, F.col("node") == F.col("r_node"), "left").select("key", "node", "size", "rest", F.coalesce("root", "node").alias("root"))
-    rooted = saved(rooted, "near-rooted")
-    several = saved(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("key").alias("k")), "near-several")
-    left = saved(rooted.join(several, F.col("key") == F.col("k")).drop("k"), "near-left")
-    x, y = left.alias("x"), left.alias("y")
+def _lists(texts: DataFrame, n: int) -> DataFrame:
+    """The index rows of keys that two texts at least have, with the number of their texts."""
+    with scratch(texts.sparkSession) as work:
+        index = saved(_index(texts, n), "near-index")
+        several = index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").withColumnRenamed("key", "k")
+        return work.result(index.join(several, F.col("key") == F.col("k")).drop("k"), "near-lists")
+
+
+def _open_lists(lists: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of lists whose texts lie in several groups so far, with the group (root) of each."""
+    with scratch(lists.sparkSession) as work:
+        roots = saved(components(edges).distinct(), "near-roots").withColumnRenamed("node", "r_node")
+        rooted = saved(lists.join(roots, F.col("node") == F.col("r_node"), "left").select("key", "node", "size", "rest", "members", F.coalesce("root", "node").alias("root")), "near-rooted")
+        several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("size", "node", "rest", "root")).alias("head")).where("x <> y").select(F.col("key").alias("k"), "head")
+        return work.result(rooted.join(several, F.col("key") == F.col("k")).drop("k"), "near-open")
+
+
+def links(texts: DataFrame, n: int, seeds: DataFrame) -> DataFrame:
+    """Edges (a, b) that span the groups of near copies; texts has a distinct _node and _text. seeds: verified edges."""
+    lists, edges = _lists(texts, n), seeds
+    for _ in range(ROUNDS):
+        rows = _open_lists(lists, edges)
+        fits = _may_link(F.col("size"), F.col("rest"), F.col("head.size"), F.col("head.rest"))
+        one = rows.where((F.col("root") != F.col("head.root")) & fits).groupBy(F.col("node").alias("b")).agg(F.max_by("head.node", "members").alias("a")).select("a", "b")
+        edges = saved(edges.unionByName(verified(saved(one, "near-stars"), texts, n)), "near-edges")
+    rows = _open_lists(lists, edges).drop("head")
+    x, y = rows.alias("x"), rows.alias("y")
     fits = _may_link(F.col("x.size"), F.col("x.rest"), F.col("y.size"), F.col("y.rest"))
     apart = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits)
     pairs = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return first.unionByName(saved(_verified(saved(pairs, "near-pairs"), texts, n), "near-pair-links"))
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
-    """docs with one document of each group: that with the least id (and, of equal ids, the least MD5 of its text)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), text.cast("binary").alias("_text"), F.md5(text).alias("_md5"), F.xxhash64(text).alias("_node"))
-    one = Window.partitionBy("_md5").orderBy(F.col("_id").asc_nulls_last())
-    exact = saved(rows.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n"), "near-texts")
-    grouped = components(links(exact, n)).distinct()
-    members = saved(grouped.join(exact.select("_node", "_id", "_md5"), F.col("node") == F.col("_node")).select("root", F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id"), F.col("_md5")).alias("who")), "near-members")
-    least = saved(members.groupBy("root").agg(F.min("who").alias("least")).withColumnRenamed("root", "r"), "near-least")
-    gone = saved(members.join(least, F.col("root") == F.col("r")).where("who._md5 <> least._md5").select(F.col("who._md5").alias("gone")), "near-gone")
-    return exact.join(gone, F.col("_md5") == F.col("gone"), "left_anti").select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    return edges.unionByName(saved(verified(saved(pairs, "near-pairs"), texts, n), "near-pair-links"))

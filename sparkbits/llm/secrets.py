@@ -12,7 +12,9 @@ Regular expressions give matches without places, so places are running sums over
 matches and of the pieces between them.
 
 Defined cases: a null text counts as empty; equal rows (id and text) give equal rows, as many as
-came in; null ids are an id like any other; further columns are ignored.
+came in; null ids are an id like any other; spans that begin at one place are ordered by kind; a very long
+text has to fit a row, its findings are rows of their own until they are listed beside it; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, scratch
 
 # The base patterns of the contract.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -118,14 +120,16 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scop
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every whole text."""
     base = F.filter("found", lambda x: x["rank"] <= BASE)
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
-    rows = spans(docs, id_col, text_col, scope)
-    return rows.select(
-        F.col("_id").alias(id_col),
-        *(count(k).alias(f"n_{k}") for k in KINDS[:BASE]),
-        F.sha2(_text(base).cast("binary"), 256).alias("base_sha256"),
-        _text(F.col("found")).alias("spans"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"),
-    ).drop("_copy")
+    with scratch(docs.sparkSession) as work:
+        rows = spans(docs, id_col, text_col, scope)
+        found = rows.select(
+            F.col("_id").alias(id_col),
+            *(count(k).alias(f"n_{k}") for k in KINDS[:BASE]),
+            F.sha2(_text(base).cast("binary"), 256).alias("base_sha256"),
+            _text(F.col("found")).alias("spans"),
+            F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"),
+        )
+        return work.result(found.drop("_copy"), "secrets")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", scope: int = 200, mask: str = "[SECRET]") -> DataFrame:
@@ -138,7 +142,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
         F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(F.substring(F.col("_row")[text_col], (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mask)))).otherwise(s["out"]).alias("out"),
     )
     masked = F.aggregate("found", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("_row")[text_col], (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_key"), F.md5(text).alias("_md5"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_key"), F.md5(text).alias("_md5"))
     joined = rows.join(found, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_hash")), "left")
     new = F.when(F.col("found").isNull(), F.col("_row")[text_col]).otherwise(masked)
     joined = joined.withColumn("_new", new)

@@ -11,7 +11,8 @@ response and the others are revisits of it; equality is by SHA-256 and length.
 
 Defined cases: a null payload is empty; a null URL gives no target header; control characters in a
 URL are percent-encoded in the archive; rows that repeat the largest id are all responses; rows with
-a null id revisit it too, or are responses if all ids are null; further columns are ignored.
+a null id revisit it too, or are responses if all ids are null; a very long payload is one record, held
+in memory as its row is; an empty table gives no archive and no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +37,12 @@ FILE_BYTES = 256 << 20
 
 
 def _opened(folder: str):
+    """Arrow's file system for a folder, under the names that Hadoop has for some of them too."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder)
+    if folder.startswith("dbfs:/"):
+        folder = "file:///dbfs/" + folder.removeprefix("dbfs:").lstrip("/")
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
 
 
 def _record_id(page_id: object, digest: str) -> str:
