@@ -1,4 +1,4 @@
-"""The exact search behind ``simhash_dedup.deduplicate``: texts with a Jaccard similarity of 0.8 or more.
+"""The exact search behind ``simhash_dedup.deduplicate_similar``: texts with a Jaccard similarity of 0.8 or more.
 
 Texts are sets of XXH64 hashes of word n-grams. Fingerprints within a few bits give the first
 candidates (``simhash_dedup.links``); as similar texts may differ in more bits than any index over their

@@ -17,7 +17,7 @@ then found by star contraction.
 Defined cases: null and empty texts and texts of blanks have fingerprint zero and are linked like
 any other; equal rows stay equal rows; a component's id is its least doc_id, null if it has none;
 a very long text is hashed 65,536 shingles at a time, but its words have to fit a worker; an empty table gives
-no rows; further columns are ignored by fingerprints and kept by ``deduplicate``.
+no rows; further columns are ignored by fingerprints and kept by ``deduplicate`` and ``deduplicate_similar``.
 """
 
 from __future__ import annotations
@@ -215,7 +215,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     return found.select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
+    """docs with one document of each group of fingerprints within RADIUS bits: that with the least id (and, of equal ids, the least MD5 of its text)."""
+    found = groups(docs, id_col, text_col, n)
+    keep = saved(found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_md5")).alias("x")).select(F.col("x._id").alias("_id"), F.col("x._md5").alias("_md5")), "simhash-kept")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_key"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_md5"))
+    joined = rows.join(keep, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_md5") == F.col("_md5")))
+    one = Window.partitionBy("_key", "_text_md5").orderBy("_key")  # equal rows: the join has put them together
+    return joined.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+
+
+def deduplicate_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
     """docs with one document of each group of near copies: that with the least id, null last.
 
     Near copies are texts with a Jaccard similarity of 0.8 or more on n-word shingles. The fingerprints' links

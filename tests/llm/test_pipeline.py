@@ -7,7 +7,10 @@ from collections import Counter
 
 import pytest
 
-from .test_operators import base, classes, reference_fingerprint, sha
+from .test_near_copies import near, sets
+from .test_operators import base, classes, sha
+
+from sparkbits.llm import language_id
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -25,8 +28,10 @@ def test_run(spark, docs, rows, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
-    fps = [reference_fingerprint(r[1]) for r in kept]
-    group = classes(fps, lambda a, b: (a ^ b).bit_count() <= 3)
+    close = {r.row.doc_id for r in language_id.identify(docs, carry=True, flag_below=corpus_pipeline.CLOSE).where("ambiguous").collect()}
+    assert len(close) < len(kept) / 10
+    kept = [r for r in kept if r[0] not in close]
+    group = classes(sets(r[1] for r in kept), near)
     first = {}
     for r, g in sorted(zip(kept, group), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
         first.setdefault(g, r)
