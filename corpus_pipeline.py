@@ -9,20 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkbits.llm import decontaminate, language_id, near_copies, secrets, sentencepiece_codec
+from sparkbits.llm import decontaminate, language_id, secrets, sentencepiece_codec, simhash_dedup
 from sparkbits.llm.common import saved, table
 from sparkbits.llm.queries import tokenizer_file
 
+#: Difference of losses below which two languages are too close to call.
+CLOSE = 0.05
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (or with null text) go; others stay, even where no language could be learned."""
-    found = language_id.identify(docs, carry=True)
-    return found.where((F.col("lang_pred") != "und") | F.col("row.text").rlike(r"\p{L}")).select("row.*")
+    """Documents go whose language the model can't tell: null and letterless ones, and those as close to another language.
+
+    A call is close where the loss of the second language is less than CLOSE above that of the first. Where no
+    language could be learned, documents with a letter stay.
+    """
+    found = language_id.identify(docs, carry=True, flag_below=CLOSE)
+    told = (F.col("lang_pred") != "und") & ~F.col("ambiguous")
+    return found.where(told | ((F.col("lang_pred") == "und") & F.col("row.text").rlike(r"\p{L}"))).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays, that with the least id."""
-    return near_copies.deduplicate(docs)
+    return simhash_dedup.deduplicate_similar(docs, n=5)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
