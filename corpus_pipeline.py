@@ -14,7 +14,7 @@ from sparkbits.llm.common import saved, table
 from sparkbits.llm.queries import tokenizer_file
 
 #: Difference of losses below which two languages are too close to call.
-CLOSE = 0.05
+CLOSE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
