@@ -134,7 +134,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scop
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", scope: int = 200, mask: str = "[SECRET]") -> DataFrame:
     """docs with every found span of the text replaced by the mask."""
-    found = spans(docs, id_col, text_col, scope).where(F.size("found") > 0).select("_id", "_hash", "found")
+    with scratch(docs.sparkSession) as work:
+        found = work.result(spans(docs, id_col, text_col, scope).where(F.size("found") > 0).select("_id", "_hash", "found"), "secret-spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda s, x: F.struct(

@@ -125,11 +125,8 @@ def _sized(index: DataFrame, block: int) -> DataFrame:
     return saved(index.join(sizes, F.col("key") == F.col("k")).select("fp", "key", "n"), "lists")
 
 
-def _second_keys(fp: Column, key: Column) -> list[Column]:
-    """Keys for the fingerprints of one long list: its key and half of the 32 bits that the list leaves open.
-
-    At most RADIUS of those bits differ, so of six blocks three at least agree: there is a key for each choice of three.
-    """
+def _open_bits(fp: Column, key: Column) -> Column:
+    """The 32 bits of a fingerprint that its key leaves open."""
     table = F.shiftrightunsigned(key, 32).cast("int")
     rest = F.lit(None).cast("long")
     for p, plane in enumerate(PLANES):
@@ -137,6 +134,14 @@ def _second_keys(fp: Column, key: Column) -> list[Column]:
         for i in (x for x in range(8) if x not in plane):
             value = F.shiftleft(value, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255)))
         rest = F.when(table == p, value).otherwise(rest)
+    return rest
+
+
+def _second_keys(key: Column, rest: Column) -> list[Column]:
+    """Keys for the fingerprints of one long list: its key and half of the open bits.
+
+    At most RADIUS of those bits differ, so of six blocks three at least agree: there is a key for each choice of three.
+    """
     cuts = [round(32 * i / 6) for i in range(7)]
     masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen) for chosen in combinations(range(6), 3)]
     return [F.xxhash64(key, F.lit(t), rest.bitwiseAND(F.lit(m))) for t, m in enumerate(masks)]
@@ -155,7 +160,8 @@ def links(fps: DataFrame, block: int = 200) -> DataFrame:
     index = fps.select("fp", F.explode(F.array(*(key(p) for p in range(len(PLANES))))).alias("key"))
     lists = _sized(index, block)
     short = lists.where(F.col("n") <= block).select("fp", "key")
-    long = lists.where(F.col("n") > block).select("fp", F.explode(F.array(*_second_keys(F.col("fp"), F.col("key")))).alias("key"))
+    long = lists.where(F.col("n") > block).select("fp", "key", _open_bits(F.col("fp"), F.col("key")).alias("open"))
+    long = long.select("fp", F.explode(F.array(*_second_keys(F.col("key"), F.col("open")))).alias("key"))
     sub = _sized(long, block)
     blocks = F.ceil(F.col("n") * 1.0 / block)
     own = F.pmod(F.xxhash64("fp", "key"), blocks)
