@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,12 @@ def bloom_probe(df: DataFrame, key: str, bloom: DataFrame, m: int, k: int, local
         words = [0] * (m // 64 + 1)
         for r in bloom.select("word_idx", "word").collect():  # at most local_bits / 64 rows
             words[r.word_idx] = r.word
-        data = F.lit(b"".join(w.to_bytes(8, "little", signed=True) for w in words))
-        byte = lambda p: F.conv(F.hex(F.substring(data, F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return df.withColumn("maybe", F.forall(bloom_positions(F.col(key), m, k), lambda p: F.call_function("getbit", byte(p), (p % 8).cast("int")) == 1))
+        data = F.lit(b"".join(w.to_bytes(8, "big", signed=True) for w in words))
+        # eight bytes of a constant as a number: its place is found without walking it
+        word = lambda p: F.conv(F.hex(F.substring(data, F.shiftright(p, 6).cast("int") * 8 + 1, F.lit(8))), 16, -10).cast("long")
+        at = lambda j: F.pmod(F.xxhash64(F.col(key), F.lit(j)), F.lit(m))
+        hit = [F.call_function("getbit", word(at(j)), (at(j) % 64).cast("int")) == 1 for j in range(k)]
+        return df.withColumn("maybe", reduce(Column.__and__, hit))
     rows = df.withColumn("_row", F.monotonically_increasing_id())
     places = rows.select("_row", F.explode(bloom_positions(F.col(key), m, k)).alias("p")).withColumn("word_idx", F.floor(F.col("p") / 64))
     hit = places.join(bloom, "word_idx", "left").groupBy("_row").agg(F.min(F.coalesce(F.getbit("word", (F.col("p") % 64).cast("int")), F.lit(0))).alias("all"))
