@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
 return the columns of ``documents``.
+
+Defined cases, for every stage: null texts go in the first one, and would be kept or count as empty in the
+others; empty and letterless texts go in the first one; of equal rows and near copies one stays, that with the
+least id, null last (equal rows with one id are one row); very long texts are worked on whole and have to fit a
+row; an empty table gives an empty one with the same columns; further columns, whatever their names, come along.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkbits.llm import decontaminate, language_id, secrets, sentencepiece_codec, simhash_dedup
-from sparkbits.llm.common import saved, table
+from sparkbits.llm.common import saved, scratch, table
 from sparkbits.llm.queries import tokenizer_file
 
 #: Difference of losses below which two languages are too close to call.
@@ -62,6 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as work:
+        for name, stage in STAGES[:-1]:
+            docs = saved(stage(spark, docs, sf_dir), name)
+        return work.result(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
