@@ -401,24 +401,6 @@ def cut(texts, length):
     return out
 
 
-def test_suffixes(docs, clash, empty, rows):
-    want = Counter((i, *c) for (i, *_), c in zip(rows, cut([r[1] for r in rows], 400)))
-    for df in (docs, clash):
-        assert got(suffix_dedup.report(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
-    assert suffix_dedup.report(empty).count() == 0
-
-
-def test_suffixes_common_passages(spark):
-    """Passages a little under and over the window length in many contexts, inside one text too."""
-    rng = random.Random(9)
-    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    under, over, long = word(390), word(405), word(1000)
-    texts = [word(rng.randrange(0, 300)) + p + word(rng.randrange(0, 300)) for p in [under, over] * 25]
-    texts += [long[:700] + word(5) + long[300:], long, long[10:] + over, word(450) * 2, under + under, over, over[:400], over[1:401], ("ab" * 300), "b" * 401, "b" * 400, "b" * 399]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert got(suffix_dedup.report(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter((i, *c) for i, c in enumerate(cut(texts, 400)))
-
-
 def shared_words(texts, n=50):
     """Words of each text under windows of n words that start anywhere else."""
     words = [(t or "").encode().split() for t in texts]
@@ -426,42 +408,55 @@ def shared_words(texts, n=50):
     return [len({q for p in range(len(w) - n + 1) if seen[tuple(w[p : p + n])] > 1 for q in range(p, p + n)}) for w in words]
 
 
-def test_shared_words(spark, docs, rows):
-    want = Counter((i, n) for (i, *_), n in zip(rows, shared_words([r[1] for r in rows])))
-    assert got(suffix_dedup.report(docs), "doc_id", "n_shared_words") == want
-    rng = random.Random(12)
-    text = lambda n: " ".join(rng.choice("a bb ccc dd eee".split()) + str(rng.randrange(50)) for _ in range(n))
-    passage = text(52)
-    texts = [text(rng.randrange(5, 90)) + " " + passage + "\n" + text(rng.randrange(5, 90)) for _ in range(20)] + [" ".join(passage.split()[:n]) for n in (49, 50, 51)] + ["x " * 300, "x " * 50, "x y " * 40, "- " * 49]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert got(suffix_dedup.report(df), "doc_id", "n_shared_words") == Counter(enumerate(shared_words(texts)))
+SUFFIX = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words")
 
 
-def test_runs_of_short_periods(spark):
-    """Runs of one byte and of short periods among other text, against brute force; and few rows for them."""
-    rng = random.Random(13)
-    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
-    run = lambda unit, n: (unit * n)[:n]
-    texts = [noise(rng.randrange(500)) + run(noise(rng.choice([1, 2, 3, 7, 50, 333])), rng.randrange(380, 1500)) + noise(rng.randrange(500)) for _ in range(30)]
-    texts += [run("-=", 401), run("=-", 400), run("-=", 399), run("z", 400) + "q", "p" + run("z", 405) + "r", run("z", 2000), run("abc", 900) + run("z", 700), noise(50) + run("z", 400) + noise(50)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert got(suffix_dedup.report(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter((i, *c) for i, c in enumerate(cut(texts, 400)))
-    mb = 1 << 20
-    one, any_ = (spark.createDataFrame([(b"k" * 16, t, 1)], "k binary, text binary, copies long") for t in (b"a" * mb, rng.randbytes(mb)))
-    assert suffix_dedup.zone_rows(one, suffix_dedup.BYTES).count() <= 2 * suffix_dedup.zone_rows(any_, suffix_dedup.BYTES).count()
+def suffixes(ids, texts):
+    return Counter((i, *c, n) for i, c, n in zip(ids, cut(texts, 400), shared_words(texts)))
 
 
-def test_suffixes_leave_nothing(spark, docs):
-    """Tables of the work are gone at its end: a result folder stays, and no table in the catalog."""
+def test_suffixes(spark, docs, clash, empty, rows):
+    """Against brute force; tables of the work are gone at its end: a result folder stays, and no table in the catalog."""
     from pathlib import Path
 
     base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
     before = {p.name for p in base.iterdir()} if base.exists() else set()
-    suffix_dedup.report(docs).count()
-    assert [p.name.rpartition("-")[0] for p in base.iterdir() if p.name not in before] == ["suffix-cut"]
+    want = suffixes([r[0] for r in rows], [r[1] for r in rows])
+    for df in (docs, clash):
+        assert got(suffix_dedup.report(df), *SUFFIX) == want
+    assert suffix_dedup.report(empty).count() == 0
+    assert {p.name.rpartition("-")[0] for p in base.iterdir() if p.name not in before} == {"suffix-cut"}
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("distinct_texts")]
 
 
+def test_suffixes_common_passages(spark):
+    """Passages a little under and over the windows' lengths in many contexts, inside one text too; runs of one byte and of short periods."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    under, over, long = word(390), word(405), word(1000)
+    texts = [word(rng.randrange(0, 300)) + p + word(rng.randrange(0, 300)) for p in [under, over] * 25]
+    texts += [long[:700] + word(5) + long[300:], long, long[10:] + over, word(450) * 2, under + under, over, over[:400], over[1:401], ("ab" * 300), "b" * 401, "b" * 400, "b" * 399]
+    some = lambda n: " ".join(rng.choice("a bb ccc dd eee".split()) + str(rng.randrange(50)) for _ in range(n))
+    passage = some(52)
+    texts += [some(rng.randrange(5, 90)) + " " + passage + "\n" + some(rng.randrange(5, 90)) for _ in range(20)] + [" ".join(passage.split()[:n]) for n in (49, 50, 51)] + ["x " * 300, "x " * 50, "x y " * 40, "- " * 49]
+    run = lambda unit, n: (unit * n)[:n]
+    texts += [word(rng.randrange(500)) + run(word(rng.choice([1, 2, 3, 7, 50, 333])), rng.randrange(380, 1500)) + word(rng.randrange(500)) for _ in range(30)]
+    texts += [run("-=", 401), run("=-", 400), run("-=", 399), run("z", 400) + "q", "p" + run("z", 405) + "r", run("z", 2000), run("abc", 900) + run("z", 700), word(50) + run("z", 400) + word(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(suffix_dedup.report(df), *SUFFIX) == suffixes(range(len(texts)), texts)
+
+
+def test_runs_give_few_rows():
+    """A megabyte of one byte, or of a short period, gives no more rows than random bytes; windows done and known cover the run."""
+    n, roller = 1 << 20, suffix_dedup.Roller(suffix_dedup.BYTES)
+    rows = {}
+    for name, text in (("random", random.Random(13).randbytes(n)), ("one", b"a" * n), ("seven", (b"abcdefg" * n)[:n])):
+        values = np.frombuffer(text, np.uint8)
+        rows[name], done = suffix_dedup.without_periods(suffix_dedup.zones(values, roller), values, 400)
+        assert done == ([] if name == "random" else [(0, n - 400)])
+    assert max(len(rows["one"]), len(rows["seven"])) <= 2 * len(rows["random"])
+
+
 def test_zones_do_not_depend_on_pieces(monkeypatch):
     data = np.frombuffer(random.Random(1).randbytes(20_000), np.uint8)
     whole = suffix_dedup.zones(data, suffix_dedup.Roller(suffix_dedup.BYTES)).tolist()
