@@ -34,7 +34,8 @@ def _sparse_word(p: float, seed: int):
     some = u < -math.expm1(64 * math.log1p(-p))
     first = F.least(F.floor(F.log1p(-u) / math.log1p(-p)), F.lit(63)).cast("int")
     top = F.call_function("shiftleft", F.lit(1).cast("long"), 63 - first)
-    return F.when(some, top.bitwiseOR(_dense_word(p, seed).bitwiseAND(top - 1))).otherwise(F.lit(0).cast("long"))
+    behind = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), 63 - first))
+    return F.when(some, top.bitwiseOR(_dense_word(p, seed).bitwiseAND(behind))).otherwise(F.lit(0).cast("long"))
 
 
 def random_words(spark: SparkSession, n: int, p: float = 0.5, seed: int = 0) -> DataFrame:

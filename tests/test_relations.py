@@ -61,6 +61,17 @@ def test_random(spark):
     assert len(set(seen)) > 1
 
 
+@pytest.mark.parametrize("p", [0.0001, 0.01, 0.03, 0.3, 0.98, 0.9999])
+def test_random_density(spark, p):
+    """Shares of ones over all bits, over the first bit of words and over bits behind a one stay within five standard deviations."""
+    n = 2_000_000 if 0.001 < p < 0.999 else 20_000_000
+    w = F.col("word")
+    pairs = F.bit_count(w.bitwiseAND(F.shiftleft(w, 1)))
+    r = G.random_words(spark, n, p, seed=3).agg(F.sum(F.bit_count(w)).alias("ones"), F.sum((w < 0).cast("int")).alias("first"), F.sum(pairs).alias("pairs")).first()
+    for got, size, q in ((r.ones, n, p), (r.first, n // 64, p), (r.pairs, n // 64 * 63, p * p)):
+        assert abs(got - size * q) <= 5 * (size * q * (1 - q)) ** 0.5 + 2
+
+
 def test_bloom_by_join_and_broadcast(spark):
     keys = spark.range(500).withColumnRenamed("id", "k")
     m, k = A.bloom_size(500, 0.01)
