@@ -50,7 +50,6 @@ define("construct", "user", {
     "from_list": (lambda: X.from_list(X.to_list(B)), "bits"),
     "from_words": (lambda: W.from_words(W.to_words(B), F.length(B)), "bits"),
     "copied": (lambda: X.copy(B), "bits"),
-    "cleared": (lambda: X.clear(B), "''"),
 })
 define("try_parse", "sign", {"bad": (lambda: X.parse(F.concat(B, F.lit("2")), strict=False).isNull(), "true"), "good": (lambda: X.parse(B, strict=False), "bits")})
 define("to_bytes", "user", {
@@ -464,10 +463,6 @@ define("long_indices", "text", {
     "by3": (lambda: F.md5(X.slice_(B, 1, None, 3)), "md5(regexp_replace(substr(bits, 2), '(.).{0,2}', '\\1', 'g'))"),
     "backward": (lambda: F.md5(X.slice_(B, None, None, -2)), "md5(regexp_replace(reverse(bits), '(.).?', '\\1', 'g'))"),
     "kept": (lambda: F.md5(X.select_mask(B, mask())), "md5(regexp_replace(bits, '(.)(.)?.?.?(.)?.?(.)?', '\\1\\2\\3\\4', 'g'))"),
-    "scattered": (lambda: F.md5(X.set_mask(B, mask(), X.select_mask(B, mask()))), "md5(bits)"),
-    "gathered": (lambda: F.md5(X.gather(B, X.search(B, "1"))), f"md5(repeat('1', {ONES}))"),
-    "cleared": (lambda: X.count(X.put_value(B, X.search(B, "1"), 0)).cast("long"), "0::BIGINT"),
-    "deleted": (lambda: F.md5(X.del_list(B, X.search(B, "0"))), f"md5(repeat('1', {ONES}))"),
     "from_ones": (lambda: F.md5(A.from_sparse(A.sparse_ones(F.col(B)))), "md5(bits)"),
     "from_flips": (lambda: F.md5(A.from_flips(A.flips(F.col(B)))), "md5(bits)"),
 })
