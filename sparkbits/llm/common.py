@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,6 +72,10 @@ class scratch:
         _SCRATCH.reset(self.token)
         for path in self.paths:
             remove(self.spark, path)
+        # what is collected here lets Spark's cleaner delete the shuffles of these tables, and keeps the driver small
+        gc.collect()
+        released()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -111,8 +116,8 @@ def row_slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int,
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def _released() -> None:
-    """Gives freed memory back, as the worker stays for the next task."""
+def released() -> None:
+    """Gives freed memory back, as a worker stays for the next task, and the driver for the next stage."""
     import ctypes
 
     pa.default_memory_pool().release_unused()
@@ -132,7 +137,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         try:
             yield from run(batches)
         finally:
-            _released()
+            released()
 
     return df.mapInArrow(kernel, schema)
 

@@ -16,14 +16,14 @@ def _mark(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = saved(both.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
     joined = both.where("b > a").join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u"))
     return joined.select(F.col("b").alias("a"), F.least("m", "u").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links its smaller neighbours and itself to the least of them. Edges run from larger to smaller."""
-    least = saved(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
     joined = edges.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u"))
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 

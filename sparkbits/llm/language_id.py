@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, field, held_out, map_arrow, record_batch
+from .common import arrow_schema, field, held_out, map_arrow, record_batch, released
 from .subwords import ngrams, sparse, summed
 
 SIZES, BITS = (1, 2, 3, 4), 14
@@ -120,6 +120,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     carry: the columns of docs come along as a struct ``row``.
     """
     model = train(training_rows(docs, id_col, text_col, lang_col, per_language, bytes_per_language))
+    released()
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights a bit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

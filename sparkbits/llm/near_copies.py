@@ -33,6 +33,8 @@ from .simhash_dedup import shingle_hashes
 
 #: Bits of a hash that number its bucket.
 BUCKET_BITS = 16
+#: Hashes that a worker holds while pairs are verified.
+HELD = 1 << 20
 #: Rounds in which each text is held against one other.
 ROUNDS = 2
 
@@ -104,8 +106,18 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     to = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # sets of texts that other pairs may have too
+        size = 0
         for batch in batches:
-            near = [similar(shingles(x.as_py(), n), shingles(y.as_py(), n)) for x, y in zip(batch.column(2), batch.column(3))]
+            near = []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                for node, text in ((a, x), (b, y)):
+                    if node not in held:
+                        held[node] = shingles(text.as_py(), n)
+                        size += len(held[node])
+                near.append(similar(held[a], held[b]))
+                if size > HELD:
+                    held, size = {}, 0
             yield record_batch(to, [c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]])
 
     return map_arrow(both, run, schema)
