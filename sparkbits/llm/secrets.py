@@ -144,7 +144,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     )
     masked = F.aggregate("found", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("_row")[text_col], (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_key"), F.md5(text).alias("_md5"))
-    joined = rows.join(found, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_hash")), "left")
+    joined = rows.join(found.hint("merge"), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_hash")), "left")
     new = F.when(F.col("found").isNull(), F.col("_row")[text_col]).otherwise(masked)
     joined = joined.withColumn("_new", new)
     value = {text_col: F.col("_new"), chars_col: F.when(F.col("found").isNull(), F.col("_row")[chars_col]).otherwise(F.length("_new").cast("long")) if chars_col in docs.columns else None}
