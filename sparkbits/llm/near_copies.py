@@ -8,9 +8,14 @@ these prefixes misses no pair. The order is by the count of a hash's bucket, rar
 widespread passages out of prefixes. A pair whose places in a list leave too little overlap goes
 (positional filter); the others are verified on whole sets.
 
-Large groups of near copies are linked without their pairs: in each of ROUNDS rounds a text is held
-against one text of another group at most, the least member of its longest list. Only pairs that lie in
-different groups after that are all looked at.
+Large groups of near copies are linked without their pairs: in a round a text is held against one text of
+another group at most, the head of one of its lists. First heads are the texts that share the most of their
+prefix with others: an edit gives a text hashes that nobody has, so these are the least edited ones, and
+what was made from one text meets at it or near it (of equal ones, that with the most frequent hashes is the
+head). Later heads are drawn, those that share much more often,
+and every other round takes the shortest list, where chains of edits find their neighbours. Rounds end when
+they no longer link much. All pairs that lie in different groups after that are looked at, whatever their
+number: many texts that share hashes of their prefixes and aren't similar still give all their pairs.
 
 Defined cases: equal texts are one node; texts without words are near copies of each other; a text
 with fewer than n words is one shingle; equal rows become one; null ids come last. Nodes are 64-bit
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +40,8 @@ from .simhash_dedup import shingle_hashes
 BUCKET_BITS = 16
 #: Hashes that a worker holds while pairs are verified.
 HELD = 1 << 20
-#: Rounds in which each text is held against one other.
-ROUNDS = 2
+#: Rounds at most in which each text is held against one other; one that links WORTH of its pairs or less is the last.
+ROUNDS, WORTH = 6, 0.1
 
 
 def shingles(text: bytes | None, n: int = 5) -> np.ndarray:
@@ -51,9 +56,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def prefix(found: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The hashes of which a similar set has one at least, in the common order."""
-    order = np.lexsort((found, weight[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
+    order = np.lexsort((found, weight[_buckets(found)]))
     return found[order[: len(found) - (4 * len(found) + 4) // 5 + 1]]
 
 
@@ -67,7 +76,7 @@ def _bucket_counts(texts: DataFrame, n: int) -> np.ndarray:
         for batch in batches:
             for t in batch.column(0):
                 for hashes in shingle_hashes(t.as_py(), n):
-                    counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
+                    counts += np.bincount(_buckets(hashes), minlength=1 << BUCKET_BITS)
         some = np.flatnonzero(counts)
         yield record_batch(to, [some, counts[some]])
 
@@ -78,9 +87,9 @@ def _bucket_counts(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def _index(texts: DataFrame, n: int) -> DataFrame:
-    """Rows (key, node, size, rest): rest counts the hashes of the text from this one on."""
+    """Rows (key, node, size, rest, common): rest counts the hashes of the text from this one on, common is the mean count of its hashes' buckets."""
     weights = texts.sparkSession.sparkContext.broadcast(_bucket_counts(texts, n))
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "node", "size", "rest")])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "node", "size", "rest")] + [T.StructField("common", T.DoubleType())])
     to = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +97,7 @@ def _index(texts: DataFrame, n: int) -> DataFrame:
             for node, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = shingles(t.as_py(), n)
                 keys = prefix(found, weights.value)
-                yield record_batch(to, [keys.view(np.int64), np.full(len(keys), node), np.full(len(keys), len(found)), len(found) - np.arange(len(keys))])
+                yield record_batch(to, [keys.view(np.int64), np.full(len(keys), node), np.full(len(keys), len(found)), len(found) - np.arange(len(keys)), np.full(len(keys), weights.value[_buckets(found)].mean())])
 
     return map_arrow(texts.select("_node", "_text"), run, schema)
 
@@ -124,33 +133,58 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 
 
 def _lists(texts: DataFrame, n: int) -> DataFrame:
-    """The index rows of keys that two texts at least have, with the number of their texts."""
+    """The index rows of keys that two texts at least have, with the number of their texts and the share of its prefix that a text has in such rows."""
     with scratch(texts.sparkSession) as work:
         index = saved(_index(texts, n), "near-index")
         several = index.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").withColumnRenamed("key", "k")
-        return work.result(index.join(several, F.col("key") == F.col("k")).drop("k"), "near-lists")
+        lists = index.join(several, F.col("key") == F.col("k")).drop("k")
+        share = F.count("*").over(Window.partitionBy("node")) / (F.floor(F.col("size") / 5) + 1)
+        return work.result(lists.withColumn("share", share), "near-lists")
 
 
 def _open_lists(lists: DataFrame, edges: DataFrame) -> DataFrame:
     """The rows of lists whose texts lie in several groups so far, with the group (root) of each."""
     with scratch(lists.sparkSession) as work:
         roots = saved(components(edges).distinct(), "near-roots").withColumnRenamed("node", "r_node")
-        rooted = saved(lists.join(roots, F.col("node") == F.col("r_node"), "left").select("key", "node", "size", "rest", "members", F.coalesce("root", "node").alias("root")), "near-rooted")
-        several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("size", "node", "rest", "root")).alias("head")).where("x <> y").select(F.col("key").alias("k"), "head")
+        rooted = saved(lists.join(roots, F.col("node") == F.col("r_node"), "left").select(*lists.columns, F.coalesce("root", "node").alias("root")), "near-rooted")
+        several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("key").alias("k"))
         return work.result(rooted.join(several, F.col("key") == F.col("k")).drop("k"), "near-open")
 
 
+def _stars(rows: DataFrame, turn: int) -> DataFrame:
+    """For each text (b) of open lists one head (a) of another group at most, where the two may be similar."""
+    drawn = (F.xxhash64("node", F.lit(turn)).bitwiseAND(F.lit((1 << 53) - 1)) + 1) / float(1 << 53)
+    score = F.log(drawn) / F.pow("share", F.lit(4)) if turn else F.col("share")
+    heads = rows.groupBy("key").agg(F.max(F.struct(score.alias("score"), "common", "node", "size", "rest", "root")).alias("head")).withColumnRenamed("key", "k")
+    fits = _may_link(F.col("size"), F.col("rest"), F.col("head.size"), F.col("head.rest"))
+    apart = rows.join(heads, F.col("key") == F.col("k")).where((F.col("root") != F.col("head.root")) & fits)
+    first = -F.col("members") if turn % 2 else F.struct("head.score", "head.common")
+    return apart.groupBy(F.col("node").alias("b")).agg(F.max(F.struct(first.alias("first"), F.col("head.node").alias("a"))).alias("x")).select("x.a", "b")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of texts that meet in an open list, lie in different groups and may be similar.
+
+    The members of a list's largest group are held against those of other groups, never against each other.
+    """
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"))
+    most = sizes.select(F.col("key").alias("k"), F.col("most.root").alias("most"))
+    x, y = rows.join(most, F.col("key") == F.col("k")).where("root <> most").alias("x"), rows.alias("y")
+    fits = _may_link(F.col("x.size"), F.col("x.rest"), F.col("y.size"), F.col("y.rest"))
+    once = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("x.most")) | (F.col("x.node") < F.col("y.node")))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & once & fits)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def links(texts: DataFrame, n: int, seeds: DataFrame) -> DataFrame:
     """Edges (a, b) that span the groups of near copies; texts has a distinct _node and _text. seeds: verified edges."""
-    lists, edges = _lists(texts, n), seeds
-    for _ in range(ROUNDS):
-        rows = _open_lists(lists, edges)
-        fits = _may_link(F.col("size"), F.col("rest"), F.col("head.size"), F.col("head.rest"))
-        one = rows.where((F.col("root") != F.col("head.root")) & fits).groupBy(F.col("node").alias("b")).agg(F.max_by("head.node", "members").alias("a")).select("a", "b")
-        edges = saved(edges.unionByName(verified(saved(one, "near-stars"), texts, n)), "near-edges")
-    rows = _open_lists(lists, edges).drop("head")
-    x, y = rows.alias("x"), rows.alias("y")
-    fits = _may_link(F.col("x.size"), F.col("x.rest"), F.col("y.size"), F.col("y.rest"))
-    apart = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits)
-    pairs = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return edges.unionByName(saved(verified(saved(pairs, "near-pairs"), texts, n), "near-pair-links"))
+    edges = seeds
+    rows = _open_lists(_lists(texts, n), edges)
+    for turn in range(ROUNDS):
+        pairs = saved(_stars(rows, turn), "near-stars")
+        found = saved(verified(pairs, texts, n), "near-star-links")
+        edges = edges.unionByName(found)
+        rows = _open_lists(rows.drop("root"), edges)
+        if found.count() <= WORTH * pairs.count():
+            break
+    return edges.unionByName(saved(verified(saved(_apart(rows), "near-pairs"), texts, n), "near-pair-links"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import pytest
+
+from sparkbits.llm import near_copies
 
 from .conftest import SCHEMA
 from .test_operators import classes
@@ -55,3 +58,43 @@ def test_planted(spark):
     rows = [(k, " ".join(w), "en", "s", 1) for k, w in enumerate(out)]
     assert len(kept(rows)) < len({t for _, t, *_ in rows}) - 10
     assert found(spark, spark.createDataFrame(rows, SCHEMA).repartition(4)) == kept(rows)
+
+
+@pytest.mark.parametrize("size", [150, 300])
+def test_large_group(spark, monkeypatch, size):
+    """Pairs of a large group aren't all verified, nor those of its copies that aren't similar to each other; a chain of edits stays whole."""
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+
+    def edited(words, most):
+        words = list(words)
+        for _ in range(rng.randrange(1, most + 1)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**7)}"
+        return words
+
+    base, chain = text(146), [text(100)]
+    for _ in range(30):
+        chain.append(edited(chain[-1], 2))
+    out = [base, *(edited(base, 5) for _ in range(size)), *chain, *(text(rng.randrange(50, 200)) for _ in range(size))]
+    out += [base[:120] + text(14) for _ in range(3)]  # shorter than the group, with its passages
+    rng.shuffle(out)
+    rows = [(k, " ".join(w), "en", "s", 1) for k, w in enumerate(out)]
+    pairs, verified = [], near_copies.verified
+
+    def counted(df, *rest):
+        pairs.append(df.count())
+        return verified(df, *rest)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    assert found(spark, spark.createDataFrame(rows, SCHEMA).repartition(4)) == kept(rows)
+    assert sum(pairs) < 2 * size, pairs
+
+
+def test_pairs_apart(spark):
+    """Every pair of different groups in a list comes once, whichever group is the largest."""
+    rng = random.Random(3)
+    rows = [(key, node, 10, 10, (node * 7 + key) % 4) for key in range(6) for node in rng.sample(range(12), 8)]
+    rows += [(9, node, 10, 10, 5) for node in range(3)] + [(9, 20, 13, 13, 6)]  # too long for the others
+    got = near_copies._apart(spark.createDataFrame(rows, "key long, node long, size long, rest long, root long")).collect()
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[4] != y[4] and 20 not in (x[1], y[1])}
+    assert sorted(map(tuple, got)) == sorted(want)
