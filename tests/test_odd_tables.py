@@ -38,6 +38,6 @@ def same(spark, folder, name):
     assert got == sorted(tuple(map(plain, r)) for r in duck.sql(registry.oracle_sql()[name]).select(*columns).fetchall())
 
 
-@pytest.mark.parametrize("name", ["int_to_bits", "count_sub", "rows_scatter", "uleb128"])
+@pytest.mark.parametrize("name", ["int_to_bits", "count_sub", "rows_scatter", "uleb128", "utf8_code_point"])
 def test_odd(spark, odd, name):
     same(spark, odd, name)
