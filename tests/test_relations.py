@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkbits.functions import convert as V
+from sparkbits.functions import words as W
 from sparkbits.operators import applied as A
 from sparkbits.operators import generators as G
 from sparkbits.operators import relation as R
@@ -120,3 +121,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(got) == key(S.tumbling(events, "2 hours"))
     for r in S.presence(events).collect():
         assert r.bits == "".join("1" if any(u == r.user_id and e == k for _, u, e, _ in rows) else "0" for k in S.EVENT_TYPES)
+
+
+def test_all_pairs(spark):
+    a, b = (spark.range(n).select(F.col("id").alias(f"{x}_id"), (F.col("id") * 7).alias(f"{x}_v")) for x, n in (("a", 60), ("b", 250)))
+    pairs = R.all_pairs(a, "a_id", b, "b_id", rows=20, per_task=1000)
+    got = pairs.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.a_id, r.b_id) for r in got) == [(x, y) for x in range(60) for y in range(250)]
+    assert all(r.a_v == 7 * r.a_id and r.b_v == 7 * r.b_id for r in got)
+    assert len({r.task for r in got}) > 5  # the tables are small, their pairs many
+    assert R.all_pairs(a.limit(0), "a_id", b, "b_id").count() == 0
+
+
+def test_words_as_columns(spark):
+    rng = random.Random(8)
+    for n in (1, 64, 65, 200):
+        rows = [tuple("".join(rng.choice("01") for _ in range(n)) for _ in "ab") for _ in range(5)]
+        a, b = (W.columns(x, n) for x in "ab")
+        counts = [f.cast("long") for f in (W.count_and(a, b), W.count_or(a, b), W.count_xor(a, b), W.popcount(a))]
+        r = W.correspond_all(a, b, F.length("a"))
+        got = spark.createDataFrame(rows, "a string, b string").select("a", "b", F.array(counts).alias("n"), W.any_and(a, b).alias("meets"), W.subset(a, b).alias("inside"), W.subset(W.and_(a, b), b).alias("both"), F.array(*(r[x] for x in ("ff", "ft", "tf", "tt"))).alias("r")).collect()
+        for x in got:
+            p = list(zip(x.a, x.b))
+            both = p.count(("1", "1"))
+            assert list(x.n) == [both, n - p.count(("0", "0")), p.count(("0", "1")) + p.count(("1", "0")), x.a.count("1")]
+            assert (x.meets, x.inside, x.both) == (both > 0, ("1", "0") not in p, True) and list(x.r) == [p.count((u, v)) for u, v in (("0", "0"), ("0", "1"), ("1", "0"), ("1", "1"))]
