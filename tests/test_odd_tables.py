@@ -43,7 +43,7 @@ def test_odd(spark, odd, name):
     same(spark, odd, name)
 
 
-@pytest.mark.parametrize("name", ["contingency"])
+@pytest.mark.parametrize("name", ["contingency", "distances"])
 def test_all_vectors_meet(spark, odd, name):
     pairs = registry.queries()[name](spark, str(odd)).select("a_id", "b_id").collect()
     assert sorted(map(tuple, pairs)) == sorted((a, b) for a in IDS for b in IDS if a != b)
