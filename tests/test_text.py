@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
+import re
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkbits.functions import convert as V
 from sparkbits.functions import text as X
 from sparkbits.functions import words as W
+from sparkbits.operators import applied as A
 
 
 def test_find_golden(one):
@@ -104,3 +108,68 @@ def test_null_in_null_out(spark):
 
 def test_pretty(one):
     assert one(X.pretty(F.lit("")), X.pretty(F.lit("1" * 9)), X.pretty(F.repeat(F.lit("10"), 40), width=40)) == ["bits()", "bits('11111111 1')", "bits('''\n" + "\n".join("    " + " ".join(["10101010"] * n) for n in (4, 4, 2)) + "\n''')"]
+
+
+def test_words_model(spark):
+    """What goes through words of 64 or groups of 18 bits, at lengths around their ends, against Python."""
+    rng = random.Random(12)
+    rows = [tuple("".join(rng.choice("01") for _ in range(n)) for _ in "bm") for n in (0, 1, 7, 8, 9, 17, 18, 19, 36, 63, 64, 65, 127, 128, 129, 200) for _ in range(2)]
+    rows += [("0" * 70, "1" * 70), ("1" * 70, "0" * 70), ("0" * 130 + "1", "1" + "0" * 130), (None, None)]
+    runs = lambda b: [(int(v), a, z) for a, z, v in ((m.start(), m.end(), m[0][0]) for m in re.finditer("0+|1+", b))]
+    ones = lambda b: [k for k, x in enumerate(b) if x == "1"]
+    turn = lambda b, a, z: "".join(b[8 * k : 8 * k + 8].ljust(8, "0")[::-1][: len(b[8 * k : 8 * k + 8])] if a <= k < z else b[8 * k : 8 * k + 8] for k in range(-(-len(b) // 8)))
+    data = lambda b: bytes(int(b[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(b), 8))
+    little = lambda b: bytes(int(b[k : k + 8].ljust(8, "0")[::-1], 2) for k in range(0, len(b), 8))
+    xor_all = lambda k: reduce(lambda x, y: x ^ y, k, 0)
+    cases = {
+        "kept": (X.select_mask("b", "m"), lambda b, m: "".join(x for x, y in zip(b, m) if y == "1")),
+        "both": (X.and_("b", "m"), lambda b, m: "".join("1" if x == y == "1" else "0" for x, y in zip(b, m))),
+        "either": (X.or_("b", "m"), lambda b, m: "".join("1" if "1" in (x, y) else "0" for x, y in zip(b, m))),
+        "differ": (X.xor("b", "m"), lambda b, m: "".join("1" if x != y else "0" for x, y in zip(b, m))),
+        "n_both": (X.count_and("b", "m"), lambda b, m: sum(x == y == "1" for x, y in zip(b, m))),
+        "meets": (X.any_and("b", "m"), lambda b, m: any(x == y == "1" for x, y in zip(b, m))),
+        "inside": (X.subset("b", "m"), lambda b, m: all(y == "1" for x, y in zip(b, m) if x == "1")),
+        "sum": (X.sum_indices("b").cast("long"), lambda b, m: sum(ones(b))),
+        "squares": (X.sum_indices("b", 2).cast("long"), lambda b, m: sum(k * k for k in ones(b))),
+        "xored": (X.xor_indices("b"), lambda b, m: xor_all(ones(b))),
+        "listed": (X.to_list("b"), lambda b, m: [int(x) for x in b]),
+        "places": (X.search("b", "1"), lambda b, m: ones(b)),
+        "pairs": (X.search("b", "11", 2, 60), lambda b, m: [k for k in range(2, min(60, len(b)) - 1) if b[k : k + 2] == "11"]),
+        "zeros": (X.search("b", "0", 3), lambda b, m: [k for k in range(3, len(b)) if b[k] == "0"]),
+        "first5": (X.first_k("b", 5), lambda b, m: ones(b)[:5]),
+        "last5": (X.first_k("b", 5, right=True), lambda b, m: ones(b)[::-1][:5]),
+        "third": (X.count_n("b", 3, strict=False), lambda b, m: ones(b)[2] + 1 if len(ones(b)) > 2 else None),
+        "last_zero": (X.find("b", "0", right=True), lambda b, m: b.rfind("0")),
+        "right_in": (X.find("b", "10", 4, 50, right=True), lambda b, m: b.rfind("10", 4, 50)),
+        "runs": (F.transform(X.intervals("b"), lambda r: F.array(r["value"].cast("long"), r["start"], r["stop"])), lambda b, m: [list(r) for r in runs(b)]),
+        "turned": (X.bytereverse("b"), lambda b, m: turn(b, 0, 99)),
+        "turned_in": (X.bytereverse("b", 1, 3), lambda b, m: turn(b, 1, 3)),
+        "big": (X.to_bytes("b"), lambda b, m: data(b)),
+        "little": (X.to_bytes("b", "little"), lambda b, m: little(b)),
+        "from_big": (X.from_bytes(X.to_bytes("b")), lambda b, m: b.ljust(-(-len(b) // 8) * 8, "0")),
+        "from_little": (X.from_bytes(X.to_bytes("b", "little"), "little"), lambda b, m: b.ljust(-(-len(b) // 8) * 8, "0")),
+        "a_byte_each": (X.unpack("b"), lambda b, m: bytes(map(int, b))),
+        "packed": (X.pack(X.unpack("b", b"\x00", b"\xff")), lambda b, m: b),
+        "marks": (X.unpack("b", b"z", b"0"), lambda b, m: b.replace("1", "y").replace("0", "z").replace("y", "0").encode()),
+        "nul_one": (X.unpack("b", b"1", b"\x00"), lambda b, m: b.replace("1", "\0").replace("0", "1").encode()),
+        "words": (W.from_words(W.to_words("b"), F.length("b")), lambda b, m: b),
+        "flips": (A.from_flips(A.flips(F.col("b"))), lambda b, m: b),
+        "sparse": (A.from_sparse(A.sparse_ones(F.col("b"))), lambda b, m: b),
+        "base64": (F.when(F.length("b") % 6 == 0, V.to_base("b", 64)), lambda b, m: "".join(V.ALPHABETS[64][int(b[k : k + 6], 2)] for k in range(0, len(b), 6)) if len(b) % 6 == 0 else None),
+        "base64_back": (V.from_base(V.to_base(F.rpad("b", (6 * F.ceil(F.length("b") / 6)).cast("int"), F.lit("0")), 64), 64), lambda b, m: b.ljust(-(-len(b) // 6) * 6, "0")),
+        "hex_little": (V.from_hex(V.to_hex(F.rpad("b", (4 * F.ceil(F.length("b") / 4)).cast("int"), F.lit("0")), "little"), "little"), lambda b, m: b.ljust(-(-len(b) // 4) * 4, "0")),
+    }
+    got = spark.createDataFrame(rows, "b string, m string").select("b", "m", *(v[0].alias(k) for k, v in cases.items())).collect()
+    for r in got:
+        for k, (_, model) in cases.items():
+            v = bytes(r[k]) if isinstance(r[k], bytearray) else r[k]
+            assert v == (None if r.b is None else model(r.b, r.m)), (k, r.b, r.m)
+
+
+def test_texts_are_dealt_out(spark, tmp_path):
+    """A table of one file and one row group is no single task."""
+    from sparkbits.plans.base import whole_text
+
+    spark.createDataFrame([(k, "a text") for k in range(200)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    bits = whole_text(spark, str(tmp_path)).select("id", "bits", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in bits}) > 4 and {r.bits for r in bits} == {"".join(f"{x:08b}" for x in b"a text")}
