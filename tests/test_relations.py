@@ -146,3 +146,26 @@ def test_words_as_columns(spark):
             both = p.count(("1", "1"))
             assert list(x.n) == [both, n - p.count(("0", "0")), p.count(("0", "1")) + p.count(("1", "0")), x.a.count("1")]
             assert (x.meets, x.inside, x.both) == (both > 0, ("1", "0") not in p, True) and list(x.r) == [p.count((u, v)) for u, v in (("0", "0"), ("0", "1"), ("1", "0"), ("1", "1"))]
+
+
+def test_bloom_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(A, "SHARD_BITS", 1000)
+    keys = spark.range(500).withColumnRenamed("id", "k")
+    m, k = A.bloom_size(500, 0.01)
+    shards, bits = A.bloom_shards(m)
+    assert shards == 5 and bits % 64 == 0 and shards * bits >= m
+    bloom = A.bloom_build(keys, "k", m, k).cache()
+    words = {r.word_idx: r.word for r in bloom.collect()}
+    assert len(words) == bloom.count() and max(words) < shards * bits // 64
+    for p in keys.select(A.bloom_positions(F.col("k"), m, k).alias("p")).collect():
+        assert len({x // bits for x in p.p}) == 1 and all(words[x // 64] >> x % 64 & 1 for x in p.p)
+    others = spark.range(10_000, 12_000).withColumnRenamed("id", "k")
+    joined, plain = ({r.k for r in A.bloom_probe(others, "k", bloom, m, k, b).where("maybe").collect()} for b in (0, 1 << 24))
+    assert joined == plain and len(joined) < 80
+    twice = A.bloom_probe(keys.union(keys), "k", bloom, m, k, 0)
+    assert twice.where("maybe").count() == 1000 and twice.columns == ["k", "maybe"]
+    assert A.bloom_probe(keys, "k", A.bloom_build(keys.where("k < 3"), "k", m, k), m, k, 0).where("maybe").count() < 100
+    assert abs(A.bloom_stats(bloom, m, k).first().approx_items - 500) < 50
+    # places aren't shuffled: only keys are dealt out, once, before they become k places
+    plan = A.bloom_build(keys.where("k <> 7"), "k", m, k)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
