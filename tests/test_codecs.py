@@ -131,3 +131,20 @@ def test_inflate_and_doubles(spark):
     df = spark.createDataFrame([(raw, gzip.compress(data), -2.5)], "r binary, g binary, d double")
     r = df.select(K.inflate("r").alias("r"), K.inflate("g", "gzip").alias("g"), K.inflate("r", "gzip", strict=False).alias("bad"), K.double_bits("d").alias("d"), K.bits_double(K.double_bits("d")).alias("back")).first()
     assert bytes(r.r) == bytes(r.g) == data and r.bad is None and r.d == "1" + "10000000000" + "01" + "0" * 50 and r.back == -2.5
+
+
+def test_batches_are_bounded(spark):
+    """A worker holds a thousand rows or 16 MB at once, however many a task has."""
+    keys = list(K.BATCH)
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        K.deflated(F.lit(b""))
+        assert all(0 < int(spark.conf.get(k).rstrip("b")) <= K.BATCH[k] for k in keys)
+        spark.conf.set(keys[0], "50")
+        K.inflate(F.lit(b""))
+        assert spark.conf.get(keys[0]) == "50"
+    finally:
+        for k, v in zip(keys, old):
+            spark.conf.set(k, v)
